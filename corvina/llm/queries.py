@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, token_count
+from . import bpe, jaccard_join, substring_dedup, token_count
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_token_count": token_count.op2_token_count,
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+    "op5_jaccard_join": jaccard_join.op5_jaccard_join,
 }
 ORACLES: dict[str, str] = {}
