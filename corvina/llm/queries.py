@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard_join, substring_dedup, token_count
+from . import bpe, jaccard_join, substring_dedup, token_count, token_files, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_token_count": token_count.op2_token_count,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
+    "op6_token_files": token_files.op6_token_files,
+    "op8_warc": warc.op8_warc,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_warc": warc.OP8_SQL}
