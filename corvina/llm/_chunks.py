@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U64, binaries, pack, slices, unpack
+from ._common import U64, binaries, bounded_batches, pack, slices, unpack
 
 CHUNK_BYTES = 12 << 20
 #: Bits of a key that is dealt out.
@@ -31,6 +31,7 @@ class Chunk:
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 

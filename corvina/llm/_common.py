@@ -13,7 +13,7 @@ import pyarrow as pa
 
 _OWN_DIRS: dict[str, str] = {}
 #: Bytes of text that the vectorised code handles at once.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 U64 = np.uint64
 
 
@@ -41,6 +41,13 @@ def partitions(spark) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def bounded_batches(spark) -> None:
+    """Lets Arrow batches of long texts end at a few megabytes, unless the session sets another bound than Spark's own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in (f"{64 << 20}b", "64m", str(64 << 20)):
+        spark.conf.set(name, str(8 << 20))
+
+
 def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -26,6 +26,8 @@ from .components import components, forest
 N, PERCENT = 4, 85
 #: Documents that one verification task takes at most of a group; larger groups are split into blocks of that many.
 BLOCK = 4096
+#: Bytes of text whose shingles are dealt out together.
+CHUNK_BYTES = 6 << 20
 #: Longest lengthening of a prefix, and the candidates per document from which it is lengthened.
 MOST_MATCHES, CHEAP = 6, 32
 _KEY_BYTES = ck.KEY_BITS // 8
@@ -259,10 +261,10 @@ def _stars(group: pa.Table) -> pa.Table:
     return pa.table([pa.array(node, pa.int64()), pa.array(root, pa.int64())], ["a", "b"])
 
 
-def links(docs: DataFrame, n: int = N, percent: int = PERCENT, chunk_bytes: int = ck.CHUNK_BYTES, block: int = BLOCK) -> DataFrame:
+def links(docs: DataFrame, n: int = N, percent: int = PERCENT, chunk_bytes: int = CHUNK_BYTES, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) whose components are those of all links: 100 * intersection >= percent * union."""
     spark = docs.sparkSession
-    buckets = partitions(spark)
+    buckets = 2 * partitions(spark)
     keys = ck.texts_of(docs).mapInArrow(_send_keys(n, buckets, chunk_bytes), ck.SCHEMA)
     answers = keys.groupBy("bucket").applyInArrow(_frequencies, ck.SCHEMA)
     shared = ck.text_rows(docs, chunk_bytes).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_shared(n, buckets, percent), "doc_id long, n long, sums string, lone long, keys binary, head array<long>")
@@ -281,7 +283,7 @@ def links(docs: DataFrame, n: int = N, percent: int = PERCENT, chunk_bytes: int
     sets = shared.select("doc_id", "sums", "n", "lone", "keys").join(first, ["doc_id", "sums"], "left_semi").drop("sums").join(members, "doc_id")
     sets = sets.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     # a group of one block goes to one task with others; of more blocks, each pair of them is a task
-    task = F.when(F.col("blocks") == 1, F.array(F.pmod(F.xxhash64("comp"), F.lit(4 * buckets)).cast("string"))).otherwise(
+    task = F.when(F.col("blocks") == 1, F.array(F.pmod(F.xxhash64("comp"), F.lit(2 * buckets)).cast("string"))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.concat_ws("-", F.col("comp"), F.least(o, F.col("block")), F.greatest(o, F.col("block"))))
     )
     sets = sets.select("comp", "doc_id", "n", "lone", "keys", "block", F.explode(task).alias("task"))
