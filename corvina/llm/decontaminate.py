@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._chunks import texts_of
-from ._common import LOWER, U64, grams, mix, ragged, slices, table, word_hashes, words
+from ._common import LOWER, U64, bounded_batches, grams, mix, ragged, slices, table, word_hashes, words
 
 PERCENT, RECALL = 80, 0.98
 WALKS, BANDS, SAMPLED = 8, 48, 2
@@ -237,5 +237,26 @@ def find(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, item_wor
     return out
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, item_words: int = ITEM_WORDS) -> DataFrame:
+    """The rows of docs that no item contaminates, with all their columns."""
+    bounded_batches(docs.sparkSession)
+    for ids, texts in _blocks(benchmark, item_words):
+
+        def run(batches, ids=ids, texts=texts):
+            items = Items(ids, texts, percent)
+            for batch in batches:
+                good, at = np.ones(batch.num_rows, bool), 0
+                column = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("text"))], ["text"])
+                for _, data, offsets in slices([column], []):
+                    data = LOWER[data]
+                    s, e, first = words(data, offsets)
+                    good[[at + x[0] for x in items.find(word_hashes(data, s, e), first)]] = False
+                    at += len(offsets) - 1
+                yield batch.filter(pa.array(good))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

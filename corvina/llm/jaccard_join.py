@@ -303,5 +303,11 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT, **more) -> DataFra
     return sizes(docs, n).join(classes, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
+def first_of_each(docs: DataFrame, n: int = 5, percent: int = 80, **more) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its component, with all their columns; rows without a doc_id stay."""
+    gone = components(links(docs, n, percent, **more)).selectExpr("node AS doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._chunks import texts_of
-from ._common import SPACES, pack, slices, table, unpack
+from ._common import SPACES, bounded_batches, pack, slices, table, unpack
 
 PASSAGE, BINS, HIDDEN = 512, 256, 32
 SAMPLE, LONGEST, STEPS, THRESHOLD = 2500, 1 << 16, 600, 0.7
@@ -141,17 +141,35 @@ def score(docs: DataFrame, model: dict | float, threshold: float = THRESHOLD) ->
 
     def run(batches):
         for (ids,), data, offsets in slices(batches, ["doc_id"]):
-            if isinstance(model, float):
-                s = np.full(len(offsets) - 1, model)
-            else:
-                x, first = passages(data, offsets)
-                s = np.concatenate([_scored(model, x, first, a) for a in range(0, len(first) - 1, 256)])
+            s = scores(model, data, offsets)
             yield pa.RecordBatch.from_arrays([ids, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     out = texts_of(docs).mapInArrow(run, "doc_id long, score double, predicted int")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def keep(docs: DataFrame, model: dict | float, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose `text` scores `threshold` or more, with all their columns."""
+    bounded_batches(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                column = batch.column(batch.schema.get_field_index("text"))
+                one = pa.RecordBatch.from_arrays([column], ["text"])
+                s = np.concatenate([scores(model, data, offsets) for _, data, offsets in slices([one], [])])
+                yield batch.filter(pa.array(s >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def scores(model: dict | float, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    if isinstance(model, float):
+        return np.full(len(offsets) - 1, model)
+    x, first = passages(data, offsets)
+    return np.concatenate([_scored(model, x, first, a) for a in range(0, len(first) - 1, 256)])
+
+
 def _scored(model: dict, x: np.ndarray, first: np.ndarray, a: int) -> np.ndarray:
     own = first[a : a + 257]
     return forward(model, x[own[0] : own[-1]], own - own[0])["score"]

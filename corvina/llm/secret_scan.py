@@ -83,8 +83,8 @@ def _spans(text: Column, pattern: str, kind: str, rank: int, ok=None, group: int
     return F.when(text.rlike(pattern), found).otherwise(none)
 
 
-def scan(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) -> DataFrame:
-    """docs(doc_id, text) with `base` and `found`, arrays of (start, rank, end, kind) in order; found has the base spans and those of the models."""
+def scan(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD, *more: str) -> DataFrame:
+    """docs(doc_id, text and the columns `more`) with `base` and `found`, arrays of (start, rank, end, kind) in order; found has the base spans and those of the models."""
     table_ = F.array(*[F.lit(round(x, 6)) for x in ratios])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
@@ -93,11 +93,11 @@ def scan(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) ->
         return F.aggregate(pairs, F.lit(0.0), lambda a, p: a + F.element_at(table_, p + 1)) >= threshold * F.size(pairs)
 
     kinds = F.concat(_spans(F.col("_text"), ASSIGN, "assign", 0, lambda v: F.length(v) >= 8, 2), _spans(F.col("_text"), ACCESS, "access", 1, lambda v: F.length(v) >= 16), _spans(F.col("_text"), HEX, "hex", 2))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("_text"))
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("_text"), *more)
     out = out.withColumn("base", F.array_sort(kinds))
     # the models' kind is only judged where no base span lies
-    more = F.filter(_spans(F.col("_text"), RANDOM, "random", 3, random), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return out.withColumn("found", F.array_sort(F.concat("base", more))).withColumnRenamed("_text", "text")
+    added = F.filter(_spans(F.col("_text"), RANDOM, "random", 3, random), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    return out.withColumn("found", F.array_sort(F.concat("base", added))).withColumnRenamed("_text", "text")
 
 
 def joined(spans: str) -> Column:
@@ -105,8 +105,9 @@ def joined(spans: str) -> Column:
 
 
 def redact(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, text) of docs with every found span, overlapping ones as one, replaced by MASK."""
-    found = scan(docs, ratios, threshold)
+    """docs with every found span of `text`, overlapping ones as one, replaced by MASK; other columns stay, but n_chars, where there is one, follows a changed text."""
+    rows = docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    found = scan(rows, ratios, threshold, "row")
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def add(s, p):
@@ -114,7 +115,13 @@ def redact(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) -
         return F.struct(F.greatest(s["at"], p["end"]).alias("at"), F.concat(s["out"], piece).alias("out"))
 
     masked = F.aggregate("found", state, add, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.lit(2**31 - 1))))
-    return found.select("doc_id", F.when(F.size("found") > 0, masked).otherwise(F.col("text")).alias("text"))
+    hit = F.size("found") > 0
+    changed = found.select("row", hit.alias("hit"), F.when(hit, masked).otherwise(F.col("row.text")).alias("masked"))
+    out = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    out["text"] = F.col("masked")
+    if "n_chars" in out:
+        out["n_chars"] = F.when(F.col("hit"), F.length("masked").cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
+    return changed.select(*[v.alias(k) for k, v in out.items()])
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
