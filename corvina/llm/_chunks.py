@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U64, binaries, bounded_batches, pack, slices, unpack
+from ._common import U64, binaries, bounded_batches, pack, slices, trim, unpack
 
 CHUNK_BYTES = 12 << 20
 #: Bits of a key that is dealt out.
@@ -56,8 +56,10 @@ def chunks(batches, size: int):
         if held >= size:
             yield _named(ids, parts, sizes)
             ids, parts, sizes, held = [], [], [], 0
+            trim()
     if ids:
         yield _named(ids, parts, sizes)
+    trim()
 
 
 def row(chunk: str, bucket: int, payload: bytes) -> pa.RecordBatch:
@@ -70,6 +72,7 @@ def rows(found: list) -> pa.RecordBatch:
 
 
 def as_table(found: list) -> pa.Table:
+    trim()
     return pa.Table.from_batches([rows(found)])
 
 

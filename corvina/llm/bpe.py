@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import binaries, pack, partitions, ragged, slices, table, unpack
+from ._common import binaries, pack, partitions, ragged, slices, table, trim, unpack
 from ._tokens import encoder, splitter
 
 #: Bytes of text whose words share one list.
@@ -49,8 +49,10 @@ def _chunks(batches, columns: list[str], path: str, size: int):
         if held >= size:
             yield out()
             places, found, counts, rows, held = {}, [], [], [[] for _ in columns], 0
+            trim()
     if counts:
         yield out()
+    trim()
 
 
 def _word_key(w) -> bytes:

@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _chunks as ck
-from ._common import LOWER, U64, binaries, grams, groups, mix, pack, partitions, ragged, slices, table, through_storage, unpack, word_hashes, words
+from ._common import LOWER, SLICE_BYTES, U64, binaries, grams, groups, mix, pack, partitions, ragged, slices, table, through_storage, unpack, word_hashes, words
 from .components import components, forest
 
 N, PERCENT = 4, 85
 #: Documents that one verification task takes at most of a group; larger groups are split into blocks of that many.
 BLOCK = 4096
 #: Bytes of text whose shingles are dealt out together.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 3 << 20
 #: Longest lengthening of a prefix, and the candidates per document from which it is lengthened.
 MOST_MATCHES, CHEAP = 6, 32
 _KEY_BYTES = ck.KEY_BITS // 8
@@ -76,12 +76,13 @@ def _chunk_keys(c: ck.Chunk, n: int):
     parts = []
     first = 0
     while first < len(c.doc_id):  # in slices, so that work space is bounded
-        last = max(first + 1, int(np.searchsorted(c.offsets, c.offsets[first] + (1 << 20), "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(c.offsets, c.offsets[first] + SLICE_BYTES, "right")) - 1)
         value, doc = shingles(c.data[c.offsets[first] : c.offsets[last]], c.offsets[first : last + 1] - c.offsets[first], n)
-        parts.append((value, doc + first))
+        parts.append((value, (doc + first).astype(np.int32)))
         first = last
     value = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, U64)
-    doc = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
+    doc = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int32)
+    del parts
     keys, place, counts = np.unique(ck.short(value), return_inverse=True, return_counts=True)
     return keys, counts, place, doc, value
 
