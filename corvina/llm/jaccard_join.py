@@ -30,6 +30,8 @@ BLOCK = 4096
 CHUNK_BYTES = 3 << 20
 #: Longest lengthening of a prefix, and the candidates per document from which it is lengthened.
 MOST_MATCHES, CHEAP = 6, 32
+#: Parts in which the members of a class of equal sets are joined to it.
+SALTS = 16
 _KEY_BYTES = ck.KEY_BITS // 8
 
 
@@ -271,7 +273,10 @@ def links(docs: DataFrame, n: int = N, percent: int = PERCENT, chunk_bytes: int
     shared = ck.text_rows(docs, chunk_bytes).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_shared(n, buckets, percent), "doc_id long, n long, sums string, lone long, keys binary, head array<long>")
     shared = through_storage(shared, "jaccard")
     classes = shared.groupBy("sums").agg(F.min("doc_id").alias("b"))
-    equal = shared.select("doc_id", "sums").join(classes, "sums").where("doc_id <> b").selectExpr("doc_id AS a", "b").distinct()
+    # a class may hold a third of all documents: its rows are joined in SALTS parts
+    salted = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    members = shared.select("doc_id", "sums", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    equal = members.join(salted, ["sums", "salt"]).where("doc_id <> b").selectExpr("doc_id AS a", "b").distinct()
     first = classes.selectExpr("b AS doc_id", "sums")
     entries = shared.select("doc_id", "sums", "head").join(first, ["doc_id", "sums"], "left_semi").select("doc_id", F.explode("head").alias("token"))
     # prefix shingles that one class only has end here; the rest become forests, bucket by bucket
