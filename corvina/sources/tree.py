@@ -1,0 +1,115 @@
+"""Source trees as tables: files, their text, manifests and what they declare."""
+
+from __future__ import annotations
+
+import configparser
+import json
+import tomllib
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes of a file that signals are looked for in.
+SIGNAL_BYTES = 262_144
+# Directories that hold no sources of a service.
+EXCLUDED = [".git", ".hg", ".svn", ".venv", "venv", "env", "node_modules", "target", "build", "dist", "out", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".gradle", ".idea", ".vscode", "site-packages", "generated", "vendor", "vendored", "third_party", "migrations"]
+TEST_ROOTS = ["test", "tests", "testing"]
+FILES = "repo_id string, path string, length bigint, content binary"
+MANIFESTS = {"pyproject.toml": "pyproject", "requirements.txt": "requirements", "setup.cfg": "setup_cfg", "pom.xml": "pom", "build.gradle": "gradle", "build.gradle.kts": "gradle", "settings.gradle": "gradle_settings", "settings.gradle.kts": "gradle_settings", "docker-compose.yml": "compose", "docker-compose.yaml": "compose", "compose.yml": "compose", "compose.yaml": "compose", "Dockerfile": "dockerfile"}
+
+
+def files(spark: SparkSession, root: str, repo_id: str | None = None, excluded: list[str] | None = None) -> DataFrame:
+    """(repo_id, path, length, content) of the files below root; with no repo_id given, each directory right below root is a repository."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    base = F.regexp_replace(F.lit(root.rstrip("/")), "^file:/*", "/")
+    rel = F.expr("substring(_p, length(_base) + 2)")
+    out = raw.withColumns({"_p": F.regexp_replace("path", "^[a-z]+:/+", "/"), "_base": base}).withColumn("path", rel)
+    if repo_id is None:
+        out = out.withColumns({"repo_id": F.element_at(F.split("path", "/"), 1), "path": F.regexp_replace("path", "^[^/]*/", "")})
+    else:
+        out = out.withColumn("repo_id", F.lit(repo_id))
+    return kept(out.select("repo_id", normal_path(F.col("path")).alias("path"), "length", "content"), excluded)
+
+
+def normal_path(path: Column) -> Column:
+    return F.regexp_replace(F.translate(path, "\\", "/"), "^(\\./)+", "")
+
+
+def kept(files: DataFrame, excluded: list[str] | None = None) -> DataFrame:
+    """Files outside excluded, hidden and test directories."""
+    dirs = F.split("path", "/")
+    above = F.slice(dirs, 1, F.size(dirs) - 1)
+    out = F.array(*map(F.lit, [*EXCLUDED, *(excluded or [])]))
+    return files.where(~F.arrays_overlap(above, out) & ~F.exists(above, lambda d: d.startswith(".")) & ~F.coalesce(F.element_at(dirs, 1).isin(TEST_ROOTS) & (F.size(dirs) > 1), F.lit(False)))
+
+
+def text(content: Column, most: int = SIGNAL_BYTES) -> Column:
+    return F.make_valid_utf8(F.substring(content, 1, most).cast("string"))
+
+
+def extension_counts(files: DataFrame) -> DataFrame:
+    return files.withColumn("ext", F.regexp_extract("path", r"(\.[^./]+)$", 1)).groupBy("repo_id", "ext").agg(F.count("*").alias("n"))
+
+
+def import_signals(files: DataFrame, tracked: list[str]) -> DataFrame:
+    """(repo_id, package): tracked packages that Python files import at the start of a line."""
+    names = F.regexp_extract_all(text(F.col("content")), F.lit(r"(?m)^[ \t]*(?:from|import)[ \t]+([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1))
+    return files.where(F.col("path").endswith(".py")).select("repo_id", F.explode(F.array_distinct(names)).alias("package")).where(F.col("package").isin(tracked)).distinct()
+
+
+def _requirement(line: str) -> tuple[str, str] | None:
+    line = line.split("#")[0].strip()
+    if not line or line.startswith("-"):
+        return None
+    at = next((i for i, c in enumerate(line) if not (c.isalnum() or c in "._-")), len(line))
+    return (line[:at].lower().replace("_", "-"), line[at:].split(";")[0].strip()) if at else None
+
+
+def _declared(kind: str, raw: str) -> tuple[str | None, dict[str, str]]:
+    """(name, dependencies) of a manifest; what can't be parsed declares nothing."""
+    if kind == "pyproject":
+        try:
+            doc = tomllib.loads(raw)
+        except tomllib.TOMLDecodeError:
+            return None, {}
+        project, poetry = doc.get("project", {}), doc.get("tool", {}).get("poetry", {})
+        deps = dict(filter(None, map(_requirement, project.get("dependencies", []))))
+        for k, v in poetry.get("dependencies", {}).items():
+            deps[k.lower().replace("_", "-")] = v if isinstance(v, str) else str(v.get("version", "")) if isinstance(v, dict) else ""
+        return project.get("name") or poetry.get("name"), deps
+    if kind == "requirements":
+        return None, dict(filter(None, map(_requirement, raw.splitlines())))
+    if kind == "setup_cfg":
+        c = configparser.ConfigParser()
+        try:
+            c.read_string(raw)
+        except configparser.Error:
+            return None, {}
+        return c.get("metadata", "name", fallback=None), dict(filter(None, map(_requirement, c.get("options", "install_requires", fallback="").splitlines())))
+    return None, {}
+
+
+def _python_manifests(batches):
+    for b in batches:
+        found = [_declared(k, t) for k, t in zip(b.column("kind").to_pylist(), b.column("text").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("repo_id"), b.column("path"), b.column("kind"), pa.array([x[0] for x in found], pa.string()), pa.array([json.dumps(x[1]) for x in found])], ["repo_id", "path", "kind", "name", "deps"])
+
+
+def manifests(files: DataFrame) -> DataFrame:
+    """(repo_id, path, kind, name, deps map<string,string>) of manifests, by their base names."""
+    kinds = F.create_map(*[F.lit(x) for pair in MANIFESTS.items() for x in pair])
+    rows = files.withColumn("kind", kinds[F.element_at(F.split("path", "/"), -1)]).where("kind IS NOT NULL")
+    rows = rows.select("repo_id", "path", "kind", text(F.col("content"), 1 << 24).alias("text"))
+    python = rows.where("kind IN ('pyproject', 'requirements', 'setup_cfg')").mapInArrow(_python_manifests, "repo_id string, path string, kind string, name string, deps string").withColumn("deps", F.from_json("deps", "map<string,string>"))
+    plain = F.regexp_replace("text", r'\sxmlns(:\w+)?="[^"]*"', "")
+    pairs = lambda a, b, v: F.map_from_entries(F.array_distinct(F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda x: F.struct(F.concat_ws(":", x["a"], x["b"]).alias("k"), F.lit(v).alias("v")))))
+    maven = rows.where("kind = 'pom'").withColumn("text", plain).select("repo_id", "path", "kind", F.xpath_string("text", F.lit("/project/artifactId")).alias("name"), pairs(F.xpath("text", F.lit("/project/dependencies/dependency/groupId/text()")), F.xpath("text", F.lit("/project/dependencies/dependency/artifactId/text()")), "").alias("deps"))
+    coordinate = r"(?:implementation|api|compileOnly|runtimeOnly|annotationProcessor|testImplementation)\s*\(?\s*[\"']([^:\"']+):([^:\"']+)"
+    gradle = rows.where("kind = 'gradle'").select("repo_id", "path", "kind", F.lit(None).cast("string").alias("name"), pairs(F.regexp_extract_all("text", F.lit(coordinate), F.lit(1)), F.regexp_extract_all("text", F.lit(coordinate), F.lit(2)), "").alias("deps"))
+    rest = rows.where("kind NOT IN ('pyproject', 'requirements', 'setup_cfg', 'pom', 'gradle')").select("repo_id", "path", "kind", F.lit(None).cast("string").alias("name"), F.lit(None).cast("map<string,string>").alias("deps"))
+    return python.unionByName(maven).unionByName(gradle).unionByName(rest)
+
+
+def dependency_names(manifests: DataFrame) -> DataFrame:
+    return manifests.select("repo_id", F.explode(F.map_keys("deps")).alias("name")).distinct()
