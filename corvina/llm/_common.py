@@ -115,6 +115,7 @@ def slices(batches, columns: list[str], text: str = "text", size: int = SLICE_BY
             last = min(last, batch.num_rows)
             yield [batch.column(batch.schema.get_field_index(c)).slice(first, last - first) for c in columns], data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
             first = last
+    trim()
 
 
 _rng = np.random.default_rng(20240607)

@@ -127,6 +127,8 @@ def _encode_bucket(path: str):
         flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
         starts = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))[:-1]
         payloads = [_zip(pack(lengths=lengths[p], ids=flat[ragged(starts[p], lengths[p].astype(np.int64))])) for p in lists]
+        places = ids = lists = None
+        trim()
         return pa.table({"chunk": found.column("chunk"), "bucket": found.column("bucket"), "payload": pa.array(payloads, pa.binary())})
 
     return run
