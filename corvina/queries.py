@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import paths, text
 from .operators import graph, relational
+from .plans import report
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -151,11 +152,19 @@ def completeness(spark, sf_dir):
     return _read(spark, sf_dir, "events").groupBy("event_type").agg(text.safe_ratio(F.count_if(F.col("value") > 50), F.count("*")).alias("complete"))
 
 
-@_query("""WITH s AS (SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) FILTER (o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%') AS high FROM orders GROUP BY 1)
-  SELECT o_custkey, CAST(floor(1000 * (0.5 * done + 0.5 * high) / n + 0.5) AS BIGINT) AS score FROM s""")
+@_query("""WITH s AS (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS h, count(*) FILTER (o_orderstatus = 'O') AS m, count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) AS l,
+    count(*) FILTER (o_totalprice > 100000) AS ok, count(*) AS n, count(*) FILTER (o_orderpriority LIKE '1%') AS errors, count(*) FILTER (o_orderpriority LIKE '5%') AS failures FROM orders GROUP BY 1),
+  t AS (SELECT *, 0.30 * ok / n + 0.20 * CASE WHEN errors = 0 THEN 1 ELSE 0 END + 0.20 * (h + 0.5 * m) / greatest(h + m + l, 1) + 0.30 AS raw FROM s)
+  SELECT o_custkey, CAST(floor(10000 * raw * CASE WHEN failures > 0 THEN greatest(0.85, 1 - 0.02 * failures) ELSE 1 END + 0.3137) AS BIGINT) AS score FROM t""")
 def readiness(spark, sf_dir):
-    s = _read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("done"), F.count_if(F.col("o_orderpriority").rlike("^[12]")).alias("high"))
-    return s.select("o_custkey", F.floor(F.lit(1000) * (F.lit(0.5) * F.col("done") + F.lit(0.5) * F.col("high")) / F.col("n") + 0.5).cast("long").alias("score"))
+    n = lambda c: F.count_if(c)
+    status = F.col("o_orderstatus")
+    rows = _read(spark, sf_dir, "orders").groupBy("o_custkey").agg(
+        n(status == "F").alias("high"), n(status == "O").alias("medium"), n(~status.isin("F", "O")).alias("low"), n(F.col("o_totalprice") > 100000).alias("gates_passed"), F.count("*").alias("gates"),
+        n(F.col("o_orderpriority").startswith("1")).alias("errors"), n(F.col("o_orderpriority").startswith("5")).alias("failures"))
+    for c in report.LEAST:
+        rows = rows.withColumn(c, F.lit(1.0))
+    return rows.select("o_custkey", F.floor(10000 * report.score(rows) + 0.3137).cast("long").alias("score"))
 
 
 @_query("""SELECT s_suppkey, array_to_string(list_filter([CASE WHEN s_acctbal < 0 THEN 'negative balance' END, CASE WHEN n_name LIKE 'A%' THEN 'listed nation' END,
