@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._chunks import texts_of
-from ._common import SPACES, bounded_batches, pack, slices, table, unpack
+from ._common import SPACES, bounded_batches, pack, slices, table, trim, unpack
 
 PASSAGE, BINS, HIDDEN = 512, 256, 32
 SAMPLE, LONGEST, STEPS, THRESHOLD = 2500, 1 << 16, 600, 0.7
@@ -133,7 +133,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: int =
         return float(total.get(1, 0) / sum(total.values()))
     bags = [unpack(v)["x"].reshape(-1, FEATURES) for v in rows.column("x").to_pylist()]
     weight = np.where(y == 1, total[1] / max(1, (y == 1).sum()), total[0] / max(1, (y == 0).sum()))
-    return fit(bags, y, weight / weight.mean(), steps)
+    model = fit(bags, y, weight / weight.mean(), steps)
+    del rows, bags
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: dict | float, threshold: float = THRESHOLD) -> DataFrame:
