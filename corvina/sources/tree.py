@@ -15,6 +15,9 @@ SIGNAL_BYTES = 262_144
 # Directories that hold no sources of a service.
 EXCLUDED = [".git", ".hg", ".svn", ".venv", "venv", "env", "node_modules", "target", "build", "dist", "out", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".gradle", ".idea", ".vscode", "site-packages", "generated", "vendor", "vendored", "third_party", "migrations"]
 TEST_ROOTS = ["test", "tests", "testing"]
+LIBRARY = "struct<groupId:string,artifactId:string,version:string>"
+LIBRARIES = f"array<{LIBRARY}>"
+POM = f"artifactId string, packaging string, parent {LIBRARY}, modules struct<module:array<string>>, dependencies struct<dependency:{LIBRARIES}>"
 FILES = "repo_id string, path string, length bigint, content binary"
 MANIFESTS = {"pyproject.toml": "pyproject", "requirements.txt": "requirements", "setup.cfg": "setup_cfg", "pom.xml": "pom", "build.gradle": "gradle", "build.gradle.kts": "gradle", "settings.gradle": "gradle_settings", "settings.gradle.kts": "gradle_settings", "docker-compose.yml": "compose", "docker-compose.yaml": "compose", "compose.yml": "compose", "compose.yaml": "compose", "Dockerfile": "dockerfile"}
 
@@ -102,14 +105,39 @@ def manifests(files: DataFrame) -> DataFrame:
     rows = files.withColumn("kind", kinds[F.element_at(F.split("path", "/"), -1)]).where("kind IS NOT NULL")
     rows = rows.select("repo_id", "path", "kind", text(F.col("content"), 1 << 24).alias("text"))
     python = rows.where("kind IN ('pyproject', 'requirements', 'setup_cfg')").mapInArrow(_python_manifests, "repo_id string, path string, kind string, name string, deps string").withColumn("deps", F.from_json("deps", "map<string,string>"))
-    plain = F.regexp_replace("text", r'\sxmlns(:\w+)?="[^"]*"', "")
     pairs = lambda a, b, v: F.map_from_entries(F.array_distinct(F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda x: F.struct(F.concat_ws(":", x["a"], x["b"]).alias("k"), F.lit(v).alias("v")))))
-    maven = rows.where("kind = 'pom'").withColumn("text", plain).select("repo_id", "path", "kind", F.xpath_string("text", F.lit("/project/artifactId")).alias("name"), pairs(F.xpath("text", F.lit("/project/dependencies/dependency/groupId/text()")), F.xpath("text", F.lit("/project/dependencies/dependency/artifactId/text()")), "").alias("deps"))
+    # the XML reader leaves what it can't parse null
+    pom = F.from_xml("text", POM)
+    library = lambda d, lead: F.struct(F.concat(F.lit(lead), F.trim(d["groupId"]), F.lit(":"), F.trim(d["artifactId"])).alias("k"), F.coalesce(F.trim(d["version"]), F.lit("")).alias("v"))
+    named = F.concat(F.transform(F.coalesce("p.dependencies.dependency", F.array().cast(LIBRARIES)), lambda d: library(d, "")), F.array(library(F.col("p.parent"), "parent:")))
+    named = F.filter(named, lambda e: e["k"].isNotNull())
+    last = F.filter(named, lambda e, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda x: x["k"] == e["k"]))
+    maven = rows.where("kind = 'pom'").withColumn("p", pom).select("repo_id", "path", "kind", F.coalesce(F.trim("p.artifactId"), F.lit("")).alias("name"), F.map_from_entries(last).alias("deps"))
     coordinate = r"(?:implementation|api|compileOnly|runtimeOnly|annotationProcessor|testImplementation)\s*\(?\s*[\"']([^:\"']+):([^:\"']+)"
     gradle = rows.where("kind = 'gradle'").select("repo_id", "path", "kind", F.lit(None).cast("string").alias("name"), pairs(F.regexp_extract_all("text", F.lit(coordinate), F.lit(1)), F.regexp_extract_all("text", F.lit(coordinate), F.lit(2)), "").alias("deps"))
     rest = rows.where("kind NOT IN ('pyproject', 'requirements', 'setup_cfg', 'pom', 'gradle')").select("repo_id", "path", "kind", F.lit(None).cast("string").alias("name"), F.lit(None).cast("map<string,string>").alias("deps"))
     return python.unionByName(maven).unionByName(gradle).unionByName(rest)
 
 
+def declared_modules(files: DataFrame) -> DataFrame:
+    """(repo_id, path, kind, module): directories that Maven and Gradle builds and compositions name as their modules, relative to the file's own."""
+    kinds = F.create_map(*[F.lit(x) for pair in MANIFESTS.items() for x in pair])
+    rows = files.withColumn("kind", kinds[F.element_at(F.split("path", "/"), -1)]).where("kind IN ('pom', 'gradle_settings', 'compose')")
+    rows = rows.select("repo_id", "path", "kind", text(F.col("content"), 1 << 24).alias("text"))
+    maven = F.from_xml("text", POM)["modules"]["module"]
+    includes = F.array_join(F.regexp_extract_all("text", F.lit(r"(?m)^\s*include\b([^\n]*(?:(?<=,)[ \t]*\n[^\n]*)*)"), F.lit(1)), ",")
+    gradle = F.transform(F.regexp_extract_all(includes, F.lit("[\"']:?([^\"']+)[\"']"), F.lit(1)), lambda x: F.translate(x, ":", "/"))
+    # a build is a plain directory, or a mapping with a context
+    builds = F.regexp_extract_all("text", F.lit(r"(?m)^\s+(?:build|context):[ \t]*[\"']?([^\s\"'#{]+)"), F.lit(1))
+    found = F.when(F.col("kind") == "pom", maven).when(F.col("kind") == "gradle_settings", gradle).otherwise(builds)
+    return rows.select("repo_id", "path", "kind", F.explode(F.array_distinct(found)).alias("module")).withColumn("module", F.regexp_replace(F.trim("module"), "^(\\./)+|/+$", ""))
+
+
+def dependency_versions(manifests: DataFrame) -> DataFrame:
+    """(repo_id, name, version): the version of each dependency in the first manifest, by path, that names it; null where that one has none."""
+    rows = manifests.select("repo_id", "path", F.explode("deps").alias("name", "version"))
+    return rows.groupBy("repo_id", "name").agg(F.min_by("version", "path").alias("version")).withColumn("version", F.nullif("version", F.lit("")))
+
+
 def dependency_names(manifests: DataFrame) -> DataFrame:
     return manifests.select("repo_id", F.explode(F.map_keys("deps")).alias("name")).distinct()
