@@ -149,9 +149,38 @@ def routes(text: str) -> list[tuple[str, int, dict]]:
     return out
 
 
+def functional(text: str) -> list[tuple[str, int, dict]]:
+    """(kind, line, value) of routes that router functions state as GET("/path") and the like, with the prefixes of enclosing nests."""
+    t = tokens(text)
+    if not any(x == "RouterFunction" for x, _ in t):
+        return []
+    owner = next((t[k + 1][0] for k in range(len(t) - 1) if t[k][0] == "class"), "")
+    quoted = lambda k: k < len(t) and t[k][0][:1] == '"' and not t[k][0].startswith('"""')
+    nests, out = [], []
+    for k, (x, line) in enumerate(t):
+        if k + 2 >= len(t) or t[k + 1][0] != "(" or k and t[k - 1][0] == "@":
+            continue
+        if x == "nest" and t[k + 2][0] in ("path", "RequestPredicates"):
+            at = next((j for j in range(k + 2, min(k + 8, len(t))) if quoted(j)), None)
+            if at is not None:
+                nests.append((k, _closing(t, k + 1, "()"), t[at][0][1:-1]))
+        elif x == "path" and quoted(k + 2) and k + 3 < len(t) and t[k + 3][0] == ",":
+            nests.append((k, _closing(t, k + 1, "()"), t[k + 2][0][1:-1]))
+        elif x in JAX and quoted(k + 2):
+            end = _closing(t, k + 1, "()")
+            # the handler comes within the same call, or right after the predicate's
+            stop = next((j for j in range(end, min(end + 40, len(t))) if t[j][0] in JAX or t[j][0] == ";"), min(end + 40, len(t)))
+            named = next((t[j + 2][0] for j in range(k + 3, stop - 2) if t[j][0] == ":" and t[j + 1][0] == ":"), x.lower())
+            prefix = "".join(p for a, b, p in nests if a < k <= b)
+            route = t[k + 2][0][1:-1]
+            inputs = [{"name": n, "location": "path", "required": True, "type": "string", "ref": None} for n in re.findall(r"\{\*?(\w+)", prefix + route)]
+            out.append(("route", line, {"owner": owner, "framework": "spring-webflux", "prefix": prefix, "method": JAX[x], "route": route, "function": named, "status": None, "parameters": inputs}))
+    return out
+
+
 def _facts(batches):
     for b in batches:
-        rows = [(repo, path, kind, line, json.dumps(value)) for repo, path, raw in zip(b.column("repo_id").to_pylist(), b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True) for kind, line, value in routes((raw or b"").decode("utf-8", "replace"))]
+        rows = [(repo, path, kind, line, json.dumps(value)) for repo, path, raw in zip(b.column("repo_id").to_pylist(), b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True) for source in [(raw or b"").decode("utf-8", "replace")] for kind, line, value in [*routes(source), *functional(source)]]
         columns = list(zip(*rows, strict=True)) or [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()], strict=True)], ["repo_id", "path", "kind", "line", "value"])
 

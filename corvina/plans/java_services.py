@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from .services import _PARAMETER
+from .services import _PARAMETER, completed
 
 _ROUTE = f"owner string, framework string, prefix string, method string, route string, function string, status string, parameters array<{_PARAMETER}>"
 # Names of statuses that differ from 200.
@@ -33,4 +33,4 @@ def operations(facts: DataFrame, manifests: DataFrame) -> DataFrame:
     rows = rows.withColumn("base", paths.operation_base(F.col("method"), F.col("path")))
     n = F.row_number().over(Window.partitionBy("repo_id", "service", "base").orderBy("duplicate", "path", "method", *order))
     codes = F.create_map(*[F.lit(x) for pair in STATUSES.items() for x in pair])
-    return rows.select("repo_id", "service", "framework", "path", "method", F.when(n == 1, F.col("base")).otherwise(F.concat_ws("_", "base", n.cast("string"))).alias("operation_id"), "function", "file", "line", F.lit(None).cast("string").alias("summary"), F.array().cast("array<string>").alias("tags"), "parameters", F.array(F.coalesce(codes[F.col("status")], F.lit("200"))).alias("statuses"), "duplicate")
+    return rows.select("repo_id", "service", "framework", "path", "method", F.when(n == 1, F.col("base")).otherwise(F.concat_ws("_", "base", n.cast("string"))).alias("operation_id"), "function", "file", "line", F.lit(None).cast("string").alias("summary"), F.array().cast("array<string>").alias("tags"), completed(F.col("parameters")).alias("parameters"), F.array(F.coalesce(codes[F.col("status")], F.lit("200"))).alias("statuses"), "duplicate")

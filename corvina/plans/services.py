@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
@@ -55,6 +55,12 @@ def mounts(facts: DataFrame) -> DataFrame:
     return found.drop("seen").distinct()
 
 
+def completed(parameters: Column) -> Column:
+    """parameters and those of `path` that they leave out."""
+    missing = F.array_except(F.regexp_extract_all("path", F.lit("\\{(\\w+)\\}"), F.lit(1)), F.transform(F.filter(parameters, lambda p: p["location"] == "path"), lambda p: p["name"]))
+    return F.concat(parameters, F.transform(missing, lambda m: F.struct(m.alias("name"), F.lit("path").alias("location"), F.lit(True).alias("required"), F.lit("string").alias("type"), F.lit(None).cast("string").alias("ref"))))
+
+
 def operations(facts: DataFrame) -> DataFrame:
     """(repo_id, service, path, method, operation_id, function, file, line, tags, parameters, statuses, duplicate): every route of every app. Later routes of the same path and method are marked as duplicates."""
     routes = _resolved(_of(facts, "route", _ROUTE), _of(facts, "router", _ROUTER), "owner_module", "owner", "router")
@@ -66,11 +72,8 @@ def operations(facts: DataFrame) -> DataFrame:
     rows = rows.withColumn("base", paths.operation_base(F.col("method"), F.col("path")))
     n = F.row_number().over(Window.partitionBy("repo_id", "service", "base").orderBy("duplicate", "path", "method", *order))
     rows = rows.withColumn("operation_id", F.when(n == 1, F.col("base")).otherwise(F.concat_ws("_", "base", n.cast("string"))))
-    # path parameters that the signature leaves out
-    missing = F.array_except(F.regexp_extract_all("path", F.lit("\\{(\\w+)\\}"), F.lit(1)), F.transform(F.filter("parameters", lambda p: p["location"] == "path"), lambda p: p["name"]))
-    added = F.transform(missing, lambda m: F.struct(m.alias("name"), F.lit("path").alias("location"), F.lit(True).alias("required"), F.lit("string").alias("type"), F.lit(None).cast("string").alias("ref")))
     plain = F.when(F.col("framework") == "fastapi", F.col("parameters")).otherwise(F.filter("parameters", lambda p: p["location"] == "path"))
-    rows = rows.withColumn("parameters", F.concat(plain, added))
+    rows = rows.withColumn("parameters", completed(plain))
     success = F.coalesce(F.col("status"), F.lit(200)).cast("string")
     statuses = F.when((F.col("framework") == "fastapi") & (F.size("parameters") > 0), F.array_sort(F.array_distinct(F.array(success, F.lit("422"))))).otherwise(F.array(success))
     return rows.select("repo_id", "service", "framework", "path", "method", "operation_id", "function", "file", "line", "summary", "tags", "parameters", statuses.alias("statuses"), "duplicate")

@@ -1,4 +1,4 @@
-from corvina.functions.java_facts import facts, routes
+from corvina.functions.java_facts import facts, functional, routes
 from corvina.plans import java_services, services
 from corvina.sources import tree
 
@@ -39,3 +39,24 @@ def test_operations(spark):
     assert by["/api/v1/books", "post"]["statuses"] == ["201"] and by["/api/v1/books", "post"]["parameters"][0]["ref"] == "CreateBook"
     assert [(p["name"], p["location"]) for p in by["/api/v1/books/{id}", "put"]["parameters"]] == [("id", "path"), ("X-A", "header")]
     assert all(r["passed"] for r in services.gates(ops, services.documents(ops)).collect())
+
+
+LISTS = '''class Routes {
+    @Bean RouterFunction<ServerResponse> old(Handler h) { return route(GET("/lists"), h::all).andRoute(POST("/lists"), h::add); }
+    @Bean RouterFunction<ServerResponse> built(Handler h) { return route().path("/v2", b -> b.GET("/lists/{name}", accept(JSON), h::one).DELETE("/lists/{name}", h::drop)).HEAD("/up", r -> ok()).build(); }
+    @Bean RouterFunction<ServerResponse> nested(Handler h) { return nest(path("/in"), route(PUT("/x"), h::put)); }
+    // GET("/no")
+}'''
+
+
+def test_functional():
+    got = [(v["method"], v["prefix"] + v["route"], v["function"], [p["name"] for p in v["parameters"]]) for _, _, v in functional(LISTS)]
+    assert got == [("get", "/lists", "all", []), ("post", "/lists", "add", []), ("get", "/v2/lists/{name}", "one", ["name"]), ("delete", "/v2/lists/{name}", "drop", ["name"]), ("head", "/up", "head", []), ("put", "/in/x", "put", [])]
+    assert functional("") == [] and functional(BOOKS) == [] and functional("RouterFunction GET(") == []
+
+
+def test_functional_operations(spark):
+    files = spark.createDataFrame([("w", "R.java", len(LISTS), bytearray(LISTS.encode()))], tree.FILES)
+    ops = java_services.operations(facts(files), tree.manifests(files)).cache()
+    assert ops.count() == 6 and {r["framework"] for r in ops.collect()} == {"spring-webflux"}
+    assert all(r["passed"] for r in services.gates(ops, services.documents(ops)).collect())
