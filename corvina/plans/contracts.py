@@ -32,12 +32,16 @@ def resolved(refs: DataFrame, definitions: DataFrame, facts: DataFrame) -> DataF
     A module is named from any directory above its package; of several, the one that shares most leading directories with the file that refers to it, then the smallest path. Names that modules pass on from others count, up to three times.
     """
     alias = _of(facts, "alias", "name string, target_module string, target string").select("repo_id", F.col("module").alias("a_module"), F.col("name").alias("a_name"), "target_module", "target").distinct()
+    alias = cut(alias)
     wanted = cut(refs.select("repo_id", "path", "module", "name").distinct())
-    seen = _suffixes(definitions.select("repo_id", "module", "name", F.col("path").alias("r_path"), F.col("name").alias("r_name")))
+    last = seen = cut(_suffixes(definitions.select("repo_id", "module", "name", F.col("path").alias("r_path"), F.col("name").alias("r_name"))).distinct())
     for _ in range(3):
-        passed = alias.join(seen.select("repo_id", F.col("module").alias("target_module"), F.col("name").alias("target"), "r_path", "r_name"), ["repo_id", "target_module", "target"])
+        passed = alias.join(last.select("repo_id", F.col("module").alias("target_module"), F.col("name").alias("target"), "r_path", "r_name"), ["repo_id", "target_module", "target"])
         more = _suffixes(passed.select("repo_id", F.col("a_module").alias("module"), F.col("a_name").alias("name"), "r_path", "r_name"))
-        seen = cut(seen.unionByName(more).distinct())
+        last = cut(more.distinct().join(seen, seen.columns, "left_anti"))
+        if last.isEmpty():
+            break
+        seen = seen.unionByName(last)
     hit = wanted.join(seen, ["repo_id", "module", "name"])
     shared = F.size(F.filter(F.zip_with(F.split("path", "/"), F.split("r_path", "/"), lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x))
     first = relational.keep_first(hit.withColumn("_shared", shared), ["repo_id", "path", "module", "name"], [F.desc("_shared"), "r_path", "r_name"])

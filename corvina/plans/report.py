@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import paths, text
+
 # Shares of the score, and least completeness of a service that may ship.
 WEIGHTS = {"gates": 0.30, "validation": 0.20, "confidence": 0.20, "responses": 0.15, "requests": 0.10, "parameters": 0.05}
 LEAST = {"response_completeness": 0.75, "request_completeness": 0.75, "parameter_completeness": 0.90}
@@ -42,6 +44,31 @@ def issues() -> Column:
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
+def coverage(operations: DataFrame, gates: DataFrame, internal: list[str] | None = None) -> DataFrame:
+    """rows for scored(): one a service, over its operations outside internal paths. A fact is high if the source states it, medium if a default stands in, low if nothing is known.
+
+    operations(repo_id, service, path, method, parameters, statuses, duplicate, request, response), gates(repo_id, service, gate, passed).
+    """
+    key = ["repo_id", "service"]
+    rows = operations.where(~F.col("duplicate") & ~paths.is_internal(F.col("path"), internal or []))
+    inside = F.exists("parameters", lambda p: p["location"].isin("body", "form", "file"))
+    empty = F.array_contains("statuses", "204")
+    typed = F.size(F.filter("parameters", lambda p: p["type"].isNotNull() & (p["type"] != "")))
+    known = F.col("response").isNotNull() & (F.col("response") != "{}")
+    request = F.col("request").isNotNull() & (F.col("request") != "{}")
+    each = rows.groupBy(*key).agg(
+        F.count("*").alias("operations"), F.countDistinct("path").alias("endpoints"),
+        F.count_if(known | empty).alias("_answered"), F.count_if(inside).alias("_bodies"), F.count_if(inside & request).alias("_asked"),
+        F.sum(F.size("parameters")).alias("_parameters"), F.sum(typed).alias("_typed"))
+    ratio = text.safe_ratio
+    each = each.withColumns({
+        "response_completeness": ratio(F.col("_answered"), F.col("operations")), "request_completeness": ratio(F.col("_asked"), F.col("_bodies")), "parameter_completeness": ratio(F.col("_typed"), F.col("_parameters")),
+        "high": F.col("_answered") + F.col("_asked") + F.col("_typed"), "medium": F.col("operations") - F.col("_answered"), "low": F.col("_bodies") - F.col("_asked") + F.col("_parameters") - F.col("_typed"),
+        "errors": F.lit(0), "failures": F.lit(0), "unresolved": F.lit(0)})
+    passed = gates.groupBy(*key).agg(F.count("*").alias("gates"), F.count_if("passed").alias("gates_passed"))
+    return each.drop("_answered", "_bodies", "_asked", "_parameters", "_typed").join(passed, key, "left").fillna(0, ["gates", "gates_passed"])
+
+
 def scored(rows: DataFrame) -> DataFrame:
     """rows with readiness (0 to 100, one decimal), issues and production_ready."""
     out = rows.withColumn("readiness", F.round(100 * score(rows), 1)).withColumn("issues", issues())

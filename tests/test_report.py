@@ -16,3 +16,16 @@ def test_penalties_and_issues(spark):
     r = report.scored(rows).first()
     assert r["readiness"] == round(100 * (0.3 + 0.15 * 0.5 + 0.15) * 0.85, 1)
     assert r["issues"] == ["2 unresolved", "response completeness below 0.75", "validation errors"] and not r["production_ready"]
+
+
+def test_coverage(spark):
+    schema = "repo_id string, service string, path string, method string, parameters array<struct<location:string,type:string>>, statuses array<string>, duplicate boolean, request string, response string"
+    rows = [
+        ("r", "a", "/x", "get", [("query", "string")], ["200"], False, None, "{\"type\":\"string\"}"), ("r", "a", "/x", "post", [("body", "object")], ["201"], False, "{}", "{}"),
+        ("r", "a", "/x/{i}", "delete", [], ["204"], False, None, None), ("r", "a", "/x", "get", [], ["200"], True, None, None), ("r", "a", "/health", "get", [], ["200"], False, None, None),
+    ]
+    gates = spark.createDataFrame([("r", "a", "g", True), ("r", "a", "h", False)], "repo_id string, service string, gate string, passed boolean")
+    (row,) = report.scored(report.coverage(spark.createDataFrame(rows, schema), gates, ["/health"])).collect()
+    assert (row["operations"], row["endpoints"], row["gates"], row["gates_passed"]) == (3, 2, 2, 1)
+    assert (row["response_completeness"], row["request_completeness"], row["parameter_completeness"]) == (0.6667, 0.0, 1.0)
+    assert (row["high"], row["medium"], row["low"]) == (4, 1, 1) and not row["production_ready"] and "failed gates" in row["issues"]
