@@ -2,6 +2,8 @@
 
 Nearest by Euclidean distance is largest by q.x - |x|^2 / 2, an inner product with an exact addend. Vectors are grouped by leaf centres; what is left of each, by pairs of dimensions, is quantised to 16 codewords (four bits). Codes and codewords minimise |e|^2 + (eta - 1) (e . x/|x|)^2: the part of the error that is parallel to the vector counts eta times, as it is that part which shifts large inner products. A query's table of inner products with all codewords scores a leaf's codes; the best of each block are then ranked by exact distances on the original vectors.
 
+With the quantisation error e of a vector and the leaf's centre c, the score's error is c.e, which is known, and (q - c).e, which is at most |q - c| |e|. All vectors of a block whose score could, within that bound, reach the k-th best exact one are ranked exactly too, in bounded pieces. So a block's nearest are the true ones, however many near copies share codes; only leaves that are not probed can hide neighbours.
+
 Leaf centres and codewords come from a bounded sample (SAMPLE vectors, the smallest by a hash of vec_id); every vector is indexed. Leaves with many vectors are split into blocks, so a vector that a third of the rows repeat does not fill one task. Ties go to the smaller vec_id, also where candidates are cut off.
 
 Defined cases: vectors that are null, zero, of another length than the most frequent one (the smaller of two alike), or hold null or non-finite components take no part, neither as queries nor as candidates; null vec_ids take no part; rows with the query's vec_id are never its neighbours; other columns are ignored; an empty table gives an empty result.
@@ -17,8 +19,10 @@ from pyspark.sql import functions as F
 from ._common import binaries, bounded_batches, table
 
 SAMPLE, LEAVES, PROBES, CODES, ETA, SWEEPS = 16_384, 64, 44, 16, 4.0, 3
-#: Exactly ranked candidates of a query in a block, vectors in a block.
-RERANK, BLOCK = 48, 16_384
+#: First candidates of a query in a block, which set the distance to beat; vectors in a block; vectors compared exactly at once.
+RERANK, BLOCK, PIECE = 48, 16_384, 2_048
+#: Rounding of a score in doubles, relative to the squared lengths that it is made of.
+ROUNDING = 1e-11
 
 
 def valid(rows: DataFrame) -> tuple[DataFrame, int]:
@@ -109,6 +113,11 @@ class Model:
             codes = np.concatenate((codes, np.zeros((len(codes), 1), np.uint8)), axis=1)
         return leaf, codes[:, ::2] << 4 | codes[:, 1::2]
 
+    def decode(self, leaf: int, codes: np.ndarray) -> np.ndarray:
+        """The vectors that rows of bytes of codes stand for, in doubles."""
+        each = np.stack((codes >> 4, codes & 15), axis=2).reshape(len(codes), -1)[:, : self.pairs]
+        return self.centres[leaf].astype(np.float64) + self.words[np.arange(self.pairs), each].astype(np.float64).reshape(len(codes), -1)[:, : self.dim]
+
     def probes(self, q: np.ndarray, most: int) -> np.ndarray:
         return np.argsort(-(q @ self.centres.T - 0.5 * (self.centres**2).sum(axis=1)), axis=1, kind="stable")[:, :most]
 
@@ -120,28 +129,42 @@ class Model:
         return (each[::2, :, None] + each[1::2, None, :]).reshape(-1, 256)
 
 
+def _distances(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Exact distances of the rows of x to v, a piece at a time."""
+    return np.concatenate([np.sqrt(((x[a : a + PIECE].astype(np.float64) - v) ** 2).sum(axis=1)) for a in range(0, len(x), PIECE)] or [np.zeros(0)])
+
+
 def _search_block(model: Model, found: dict, q_ids: np.ndarray, q: np.ndarray, k: int, rerank: int):
-    """The k nearest of each query among the vectors of one block: scan of codes, then exact distances."""
+    """The k nearest of each query among the vectors of one block: scan of codes, exact distances of the best and of all that could be as near."""
     ids, x, codes, leaf = found["ids"], found["x"].reshape(-1, model.dim), found["codes"].reshape(len(found["ids"]), -1), int(found["leaf"][0])
     order = np.argsort(ids, kind="stable")
-    ids, x, codes = ids[order], x[order], np.ascontiguousarray(codes[order].T)
-    half = 0.5 * (x.astype(np.float64) ** 2).sum(axis=1).astype(np.float32)
+    ids, x, codes = ids[order], x[order], codes[order]
+    centre, half, error, shift = model.centres[leaf].astype(np.float64), np.empty(len(ids)), np.empty(len(ids)), np.empty(len(ids))
+    for a in range(0, len(ids), PIECE):
+        own = slice(a, a + PIECE)
+        y = x[own].astype(np.float64)
+        half[own] = 0.5 * (y**2).sum(axis=1)
+        e = y - model.decode(leaf, codes[own])
+        error[own], shift[own] = np.sqrt((e**2).sum(axis=1)), e @ centre
+    codes = np.ascontiguousarray(codes.T)
+    length = np.sqrt(2 * half) + error + np.linalg.norm(centre)
     out = []
-    for qid, v in zip(q_ids.tolist(), q, strict=True):
-        t = model.tables(v).astype(np.float32)
-        approx = np.full(len(ids), float(v @ model.centres[leaf]), np.float32) - half
+    for qid, v in zip(q_ids.tolist(), q.astype(np.float64), strict=True):
+        t = model.tables(v)
+        approx = float(v @ centre) + shift - half
         for b in range(len(t)):
             approx += t[b][codes[b]]
         approx[ids == qid] = -np.inf
-        if len(ids) > rerank:
-            cut = np.partition(approx, len(ids) - rerank)[len(ids) - rerank]
-            above = np.flatnonzero(approx > cut)
-            # ids ascend, so ties at the cut go to the smaller ones
-            pick = np.concatenate((above, np.flatnonzero(approx == cut)[: rerank - len(above)]))
+        if len(ids) > max(rerank, k):
+            first = np.argpartition(approx, -max(rerank, k))[-max(rerank, k) :]
+            first = first[np.isfinite(approx[first])]
+            d = np.sort(_distances(x[first], v))
+            bound = np.linalg.norm(v - centre) * error + ROUNDING * (np.linalg.norm(v) + length) ** 2
+            pick = np.flatnonzero(approx + bound >= 0.5 * (v @ v - d[k - 1] ** 2)) if len(d) >= k else np.arange(len(ids))
         else:
             pick = np.arange(len(ids))
         pick = pick[np.isfinite(approx[pick])]
-        d = np.sqrt(((x[pick].astype(np.float64) - v.astype(np.float64)) ** 2).sum(axis=1))
+        d = np.concatenate([_distances(x[pick[a : a + PIECE]], v) for a in range(0, len(pick), PIECE)] or [np.zeros(0)])
         best = np.lexsort((ids[pick], d))[:k]
         out.append((np.full(len(best), qid), ids[pick][best], d[best]))
     return [np.concatenate(c) for c in zip(*out, strict=True)]

@@ -127,6 +127,20 @@ def test_neighbours(spark):
     assert few.count() == 2
 
 
+def test_neighbours_among_near_copies(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(3000, 16))
+    near = np.arange(3000) % 3 == 0
+    x[near] = x[0] + 1e-3 * r.normal(size=(near.sum(), 16))
+    rows = [(i, v) for i, v in enumerate(x.astype(np.float32).tolist())]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4), 20, 10).toPandas()
+    want = nearest(rows, 20, 10)
+    recall = {q: len({i for _, i in want[q]} & set(g.vec_id)) / 10 for q, g in got.groupby("query_id")}
+    assert set(recall) == set(want)
+    for group in (True, False):
+        assert np.mean([v for q, v in recall.items() if near[q] == group]) >= 0.95
+
+
 def test_edit_distance_of_runs():
     r = np.random.default_rng(2)
     for _ in range(200):
