@@ -3,7 +3,7 @@
 Words are lower-cased (A-Z) runs without white space. A text is contaminated by an item of m words if some run of its words is within floor(m * (100 - PERCENT) / 100) word edits of the item.
 1. Windows: a run within k edits of an item of m words holds one of the item's k + 1 fragments (of floor(m / (k + 1)) words and more) unchanged, and m - k of its words. Only windows of an item's size around such a fragment are looked at; no match is lost by this.
 2. The CGK random walk reads a window word by word: step j writes the current word and moves on if a random bit for (j, word) is 1. Windows that few edits part from an item stay close to it in Hamming distance.
-3. Bit sampling: BANDS times, SAMPLED positions of a walk are taken together as a key; windows that share a key with an item of their size are candidates. The number of bands aims at a recall of RECALL or more at the largest edit distance; equal windows always meet.
+3. Bit sampling: BANDS times, SAMPLED positions of a walk are taken together as a key; windows that share a key with an item of their size are candidates. For items of at most WALKED words and a fifth of them as edits, the bands reach a recall of RECALL or more at the largest edit distance; equal windows always meet. Walks drift apart as edits add up, so for all other items steps 2 and 3 are left out: every stretch of text that passes step 1 is a candidate, and nothing is missed.
 4. Candidates are verified by the exact edit distance between the item and the best run of words around the window.
 
 Items are read to the driver in blocks of at most ITEM_WORDS words, and the corpus is read once for each block, without a shuffle.
@@ -24,6 +24,8 @@ from ._common import LOWER, U64, bounded_batches, grams, mix, ragged, slices, ta
 
 PERCENT, RECALL = 80, 0.98
 WALKS, BANDS, SAMPLED = 8, 48, 2
+#: Items of more words are verified wherever the complete filters let them through.
+WALKED = 100
 #: Words of all items that are looked for in one pass.
 ITEM_WORDS = 1 << 20
 SCHEMA = "doc_id long, item_id long, edits int, first_word long, n_words int"
@@ -33,6 +35,11 @@ def edits_allowed(m: int, percent: int = PERCENT) -> int:
     return m * (100 - percent) // 100
 
 
+def walked(m: int, k: int) -> bool:
+    """Whether the walks and bands reach RECALL for items of m words with k edits."""
+    return m <= WALKED and k <= m // 5
+
+
 def embed(x: np.ndarray, steps: int, walk: int) -> np.ndarray:
     """The CGK walks of rows of words: (rows, steps)."""
     n, m = x.shape
@@ -84,6 +91,20 @@ def best_run(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(begin[end]), end - int(begin[end])
 
 
+def _joined(stretches: np.ndarray):
+    """Stretches (document, item, first, end) in order, those of a document and item that overlap as one."""
+    held = None
+    for d, i, a, b in stretches.T.tolist():
+        if held and held[:2] == (d, i) and a <= held[3]:
+            held = (d, i, held[2], max(b, held[3]))
+        else:
+            if held:
+                yield held
+            held = (d, i, a, b)
+    if held:
+        yield held
+
+
 class Items:
     """Items of a block, by size, with their fragments and keys."""
 
@@ -113,7 +134,8 @@ class Items:
             bits[(h >> U64(42)).astype(np.int64)] = True
             self.fragments[size] = (h[order], item[order], at[order], bits)
         self.keys = {}
-        for m in sorted(set(self.sizes.tolist())):
+        self.walked = np.array([walked(m, k) for m, k in zip(self.sizes.tolist(), self.k.tolist(), strict=True)], bool)
+        for m in sorted(set(self.sizes[self.walked].tolist())):
             own = np.flatnonzero(self.sizes == m)
             s = signatures(np.stack([self.words[i] for i in own]))
             flat = s.reshape(-1)
@@ -122,10 +144,10 @@ class Items:
         # distinct words of each item, end to end, for the word filter
         self.sets = [np.unique(w) for w in self.words]
 
-    def windows(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, item size, first word) of the windows that can match, each once."""
+    def windows(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The windows that can match, each once: rows of document, item size, first word; and, of items that are not walked, of document, item, first word, word after the last."""
         doc_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        docs, sizes, starts = [], [], []
+        docs, sizes, starts, whole = [], [], [], [np.zeros((4, 0), np.int64)]
         for size, (h, item, at, bits) in self.fragments.items():
             g = grams(hashes, size)
             ok = np.flatnonzero(bits[(g >> U64(42)).astype(np.int64)])
@@ -140,6 +162,9 @@ class Items:
             a = np.maximum(first[d], p - at[hit] - k)
             b = np.minimum(first[d + 1], p - at[hit] + m + k)
             keep = self._enough(hashes, a, b, it, m - k)
+            full = keep & ~self.walked[it]
+            whole.append(np.unique(np.stack([d[full], it[full], a[full], b[full]]), axis=1))
+            keep &= self.walked[it]
             d, it, p, m, k, place = d[keep], it[keep], p[keep], m[keep], k[keep], at[hit][keep]
             span = 2 * k + 1
             s = ragged(p - place - k, span)
@@ -148,11 +173,8 @@ class Items:
             docs.append(d)
             sizes.append(m)
             starts.append(s)
-        if not docs:
-            z = np.zeros(0, np.int64)
-            return z, z, z
-        x = np.unique(np.stack([np.concatenate(docs), np.concatenate(sizes), np.concatenate(starts)]), axis=1)
-        return x[0], x[1], x[2]
+        each = np.stack([np.concatenate(x) for x in (docs, sizes, starts)]) if docs else np.zeros((3, 0), np.int64)
+        return np.unique(each, axis=1), np.unique(np.concatenate(whole, axis=1), axis=1)
 
     def _enough(self, hashes, a, b, it, need):
         """Whether hashes[a:b] hold `need` words of the item (a word of the text counts as often as it stands)."""
@@ -172,8 +194,17 @@ class Items:
 
     def find(self, hashes: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(document, item, edits, first word, number of words): the best run for each document and item within reach."""
-        docs, sizes, starts = self.windows(hashes, first)
+        (docs, sizes, starts), whole = self.windows(hashes, first)
         best: dict[tuple[int, int], tuple] = {}
+
+        def verify(d: int, i: int, a: int, b: int) -> None:
+            edits, begin, length = best_run(self.words[i], hashes[a:b])
+            value = (edits, a + begin - int(first[d]), length, a, b)
+            if (d, i) not in best or value[:3] < best[d, i][:3]:
+                best[d, i] = value
+
+        for d, i, a, b in _joined(whole):
+            verify(d, i, a, b)
         for m in np.unique(sizes).tolist():
             own = np.flatnonzero(sizes == m)
             keys, item = self.keys[m]
@@ -193,10 +224,7 @@ class Items:
                     a, b = max(int(first[pair[0]]), int(s[w]) - k), min(int(first[pair[0] + 1]), int(s[w]) + m + k)
                     if pair in best and (best[pair][0] == 0 or best[pair][3] <= a and b <= best[pair][4]):
                         continue
-                    edits, begin, length = best_run(self.words[i], hashes[a:b])
-                    value = (edits, a + begin - int(first[pair[0]]), length, a, b)
-                    if pair not in best or value[:3] < best[pair][:3]:
-                        best[pair] = value
+                    verify(*pair, a, b)
         found: dict[tuple[int, int], tuple] = {}
         for (d, i), v in best.items():
             if v[0] <= self.k[i]:

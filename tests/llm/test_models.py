@@ -203,6 +203,20 @@ def test_decontamination(spark):
     assert decontaminate.find(docs, benchmark.limit(0)).count() == 0 and decontaminate.find(docs.limit(0), benchmark).count() == 0
 
 
+def test_long_items_with_deletions(spark):
+    r = np.random.default_rng(7)
+    word = lambda: "".join(r.choice(list("abcdefghij"), 6))
+    items = [(i, [word() for _ in range(200 + 40 * i)]) for i in range(11)]
+    rows = []
+    for i, t in items:
+        gone = set(r.choice(np.arange(1, len(t) - 1), decontaminate.edits_allowed(len(t)), replace=False).tolist())
+        rows.append((i, " ".join([word() for _ in range(30)] + [w for at, w in enumerate(t) if at not in gone] + [word() for _ in range(30)])))
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): x["edits"] for x in decontaminate.find(docs, benchmark).collect()}
+    assert got == {(i, i): decontaminate.edits_allowed(len(t)) for i, t in items}
+    assert decontaminate.clean(docs, benchmark).count() == 0
+
+
 def test_archive(spark, tmp_path):
     rows = [(3, "u", "a"), (1, "v", "a"), (None, "w", "a"), (2, "u", None), (5, "u", ""), (5, "t", "b"), (5, "u", "b"), (-4, None, "é\r\n"), (9, "x\r\ny", "c" * 300_000)]
     pages = spark.createDataFrame([(*x, "n") for x in rows], "page_id long, url string, html string, digest string")
