@@ -328,7 +328,7 @@ def call_depth(spark, sf_dir):
   r(node) AS (SELECT 499 UNION SELECT b FROM r JOIN e ON a = node) SELECT CAST(node AS BIGINT) AS node FROM r""")
 def reachable(spark, sf_dir):
     lines = _read(spark, sf_dir, "lineitem").where("l_quantity > 45").selectExpr("l_partkey % 500 AS a", "l_suppkey % 500 AS b").where("a > b").distinct()
-    return graph.reachable(lines, spark.range(499, 500).withColumnRenamed("id", "node"), 12).select("node")
+    return graph.reachable(lines, spark.range(499, 500).withColumnRenamed("id", "node")).select("node")
 
 
 @_query("""SELECT r_name, to_json(list({id: n_nationkey, spec: n_name || '.json'} ORDER BY n_nationkey)) AS catalog FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1""")

@@ -32,3 +32,10 @@ def test_same_rows(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
 def test_runs(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0
+
+
+def test_reachable_at_any_distance(spark, tmp_path):
+    chain = [(k, k - 1, 50.0) for k in range(499, 469, -1)] + [(499, 300, 1.0), (400, 399, 50.0)]
+    rows = spark.createDataFrame(chain, "l_partkey long, l_suppkey long, l_quantity double")
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert sorted(r["node"] for r in queries.reachable(spark, str(tmp_path)).collect()) == list(range(469, 500))
