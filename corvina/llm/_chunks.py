@@ -1,11 +1,11 @@
 """Chunks of documents whose 64-bit keys are dealt out by value and answered by position.
 
-A chunk holds whole texts up to a bounded size and is named by a digest of its contents. Its distinct keys go to buckets as sorted lists, so a key that a third of all documents hold is sent once a chunk, not once a document. Answers come back in the order of the list. The texts themselves move at most once for each step that needs them, compressed.
+A chunk holds whole texts up to a bounded size. Chunks are written to the shared folder once, and all steps read them there: so a chunk and its name are the same in every step, whatever order the input comes in. Its distinct keys go to buckets as sorted lists, so a key that a third of all documents hold is sent once a chunk, not once a document. Answers come back in the order of the list. The texts themselves move at most once for each step that needs them, compressed.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U64, binaries, bounded_batches, pack, slices, trim, unpack
+from ._common import U64, binaries, bounded_batches, pack, slices, through_storage, trim, unpack
 
 CHUNK_BYTES = 12 << 20
 #: Bits of a key that is dealt out.
@@ -40,10 +40,7 @@ def _named(ids: list, parts: list, sizes: list) -> Chunk:
     doc_id = np.array([0 if x is None else x for x in ids], np.int64)
     data = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
     offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int64)
-    digest = hashlib.md5()
-    for a in (doc_id, null, offsets, data):
-        digest.update(a.tobytes())
-    return Chunk(digest.hexdigest(), doc_id, null, data, offsets)
+    return Chunk(uuid.uuid4().hex, doc_id, null, data, offsets)
 
 
 def chunks(batches, size: int):
@@ -88,13 +85,21 @@ def unpack_texts(name: str, value) -> Chunk:
 
 
 def text_rows(docs: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
-    """A row (chunk, -1, texts) for each chunk."""
+    """A row (chunk, -1, texts) for each chunk, kept in the shared folder."""
 
     def run(batches):
         for c in chunks(batches, size):
             yield row(c.name, -1, pack_texts(c))
 
-    return texts_of(docs).mapInArrow(run, SCHEMA)
+    return through_storage(texts_of(docs).mapInArrow(run, SCHEMA), "chunks")
+
+
+def stored(batches):
+    """The chunks of rows that text_rows() made."""
+    for batch in batches:
+        for name, value in zip(batch.column(0).to_pylist(), binaries(batch.column(2)), strict=True):
+            yield unpack_texts(name, value)
+    trim()
 
 
 def planes(values: np.ndarray) -> dict[str, np.ndarray]:

@@ -19,9 +19,11 @@ U64 = np.uint64
 
 
 def shared_dir(spark, name: str) -> str:
-    """A fresh folder name under the cluster's shared folder (spark.checkpoint.dir); a temporary one only where that is unset, as in tests."""
+    """A fresh folder name under the cluster's shared folder (spark.checkpoint.dir); a temporary one only where that is unset in local mode, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN_DIRS:
             _OWN_DIRS[app] = tempfile.mkdtemp(prefix="corvina-")
@@ -30,6 +32,13 @@ def shared_dir(spark, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def store_of(folder: str):
+    """(file system, folder in it) of a folder that executors share, for files that tasks write and read themselves."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+
+
 def through_storage(df, name: str):
     """Cuts the lineage: writes df to the shared folder and reads it back."""
     spark = df.sparkSession
@@ -42,6 +51,16 @@ def partitions(spark) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Bytes of input for each bucket that keys are dealt to, most buckets, and an estimate of bytes that only stands for "unknown".
+BUCKET_BYTES, MOST_BUCKETS, UNKNOWN = 16 << 20, 8192, 1 << 50
+
+
+def buckets(docs) -> int:
+    """How many buckets keys of docs are dealt to: one for each shuffle partition, and more for large inputs, as a bucket is held by one task at a time."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(partitions(docs.sparkSession), min(MOST_BUCKETS, size // BUCKET_BYTES) if size < UNKNOWN else 0)
+
+
 def bounded_batches(spark) -> None:
     """Lets Arrow batches of long texts end at a few megabytes, unless the session sets another bound than Spark's own."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -53,6 +72,19 @@ def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def filtered(docs, good):
+    """The rows of docs, with all their columns whatever their names, for which good(batch with the column `text` only) gives True."""
+    names, at = docs.columns, docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(good(pa.RecordBatch.from_arrays([batch.column(at).cast(pa.string())], ["text"]))))
+
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
+
+
 def trim() -> None:
     """Gives free memory of a worker back to the system, where the C library can."""
     pa.default_memory_pool().release_unused()

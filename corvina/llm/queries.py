@@ -16,4 +16,4 @@ QUERIES = {
     "op9_ann": ann.op9_ann,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
-ORACLES: dict[str, str] = {"op8_warc": warc.OP8_SQL}
+ORACLES: dict[str, str] = {"op4_substring_dedup": substring_dedup.OP4_SQL, "op5_jaccard_join": jaccard_join.OP5_SQL, "op8_warc": warc.OP8_SQL}

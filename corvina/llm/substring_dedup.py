@@ -9,7 +9,7 @@ Reference blocks are the non-overlapping runs of half a window of words in each
 
 Only windows around anchors are compared in full; no pairs are made, and a passage that a third of all documents hold costs one row a chunk.
 
-Defined cases: null and empty texts have no words; a null doc_id comes after all others; rows with the same doc_id count as the same place for equal starts, so equal repeated rows do not remove each other; other columns are ignored; an empty table gives an empty result. Equality of windows is equality of 64-bit hashes of their word sequences.
+Defined cases: null and empty texts have no words; a text of any length lies in one chunk and is judged whole; a null doc_id comes after all others; rows with the same doc_id count as the same place for equal starts, so equal repeated rows do not remove each other (these are the only ties); other columns are ignored; an empty table gives an empty result. Equality of windows is equality of 64-bit hashes of their word sequences.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import _chunks as ck
-from ._common import U64, grams, mix, pack, partitions, table, unpack, word_hashes, words
+from ._common import U64, buckets, grams, mix, pack, table, unpack, word_hashes, words
 from ._common import binaries
 
 WINDOW = 20
@@ -76,9 +76,9 @@ class _Words:
         return h[first], doc[first], pos[first], order, begin
 
 
-def _send_probes(n: int, size: int, window: int):
+def _send_probes(n: int, window: int):
     def run(batches):
-        for c in ck.chunks(batches, size):
+        for c in ck.stored(batches):
             keys, flags, _, _ = _Words(c, window).probes()
             bounds = ck.bucket_bounds(keys, n)
             yield ck.rows([(c.name, b, pack(flags=np.packbits(np.unpackbits(flags[bounds[b] : bounds[b + 1], None], axis=1)[:, 6:].reshape(-1)), **ck.sorted_planes(keys[bounds[b] : bounds[b + 1]]))) for b in range(n) if bounds[b] < bounds[b + 1]])
@@ -88,7 +88,7 @@ def _send_probes(n: int, size: int, window: int):
 
 def _find_anchors(group: pa.Table) -> pa.Table:
     """For each chunk's list of probes, which of them hit."""
-    names, buckets, found = ck.split_bucket(group)
+    names, of, found = ck.split_bucket(group)
     keys = [ck.from_sorted(x) for x in found]
     flags = [np.unpackbits(x["flags"])[: 2 * len(k)].reshape(-1, 2) for x, k in zip(found, keys, strict=True)]
     flat, marks = np.concatenate(keys), np.concatenate(flags)
@@ -101,7 +101,7 @@ def _find_anchors(group: pa.Table) -> pa.Table:
     answer[order] = np.repeat(hit, sizes)
     ends = np.cumsum([len(k) for k in keys])
     parts = np.split(answer, ends[:-1])
-    return ck.as_table([(c, b, pack(bits=np.packbits(a))) for c, b, a in zip(names, buckets, parts, strict=True) if a.any()])
+    return ck.as_table([(c, b, pack(bits=np.packbits(a))) for c, b, a in zip(names, of, parts, strict=True) if a.any()])
 
 
 def _by_bucket(group: pa.Table) -> dict[int, dict]:
@@ -110,7 +110,7 @@ def _by_bucket(group: pa.Table) -> dict[int, dict]:
 
 def _send_windows(n: int, window: int):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        if not texts.num_rows or not answers.num_rows:
+        if not answers.num_rows:  # no probe of the chunk is an anchor
             return ck.as_table([])
         c = ck.unpack_texts(texts.column("chunk")[0].as_py(), binaries(texts.column("payload"))[0])
         w = _Words(c, window)
@@ -141,7 +141,7 @@ def _send_windows(n: int, window: int):
 
 def _find_repeats(group: pa.Table) -> pa.Table:
     """For each chunk, the windows whose first place in the corpus lies elsewhere."""
-    names, buckets, found = ck.split_bucket(group)
+    names, of, found = ck.split_bucket(group)
     h = [ck.from_sorted(x) for x in found]
     doc = []
     for x in found:
@@ -155,7 +155,7 @@ def _find_repeats(group: pa.Table) -> pa.Table:
     later = np.empty(len(flat), bool)
     later[order] = (docs[order] != docs[first]) | (pos[order] != pos[first])
     parts = np.split(later, np.cumsum([len(x) for x in h])[:-1])
-    return ck.as_table([(c, b, pack(**ck.sorted_planes(x[a]))) for c, b, x, a in zip(names, buckets, h, parts, strict=True) if a.any()])
+    return ck.as_table([(c, b, pack(**ck.sorted_planes(x[a]))) for c, b, x, a in zip(names, of, h, parts, strict=True) if a.any()])
 
 
 def _removed(c: ck.Chunk, w: _Words, answers: pa.Table, window: int) -> np.ndarray:
@@ -167,7 +167,7 @@ def _removed(c: ck.Chunk, w: _Words, answers: pa.Table, window: int) -> np.ndarr
     for r in repeated:
         k = np.searchsorted(h, r)
         if len(r) and (k.max() >= len(h) or (h[k] != r).any()):
-            raise ValueError("the windows of a chunk differ between two reads of the input")
+            raise ValueError("an answer names windows that the chunk does not hold")
         elsewhere[k] = True
     sizes = np.diff(np.append(begin, len(at)))
     own_doc, own_pos = w.doc_id[w.doc[at]][order], w.pos[at][order]
@@ -183,7 +183,7 @@ def _results(window: int, texts_too: bool):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         ids, n_words, n_removed, kept_out = [], [], [], []
         names, values = texts.column("chunk").to_pylist(), binaries(texts.column("payload"))
-        for name, value in zip(names, values, strict=True):
+        for name, value in zip(names, values, strict=True):  # one chunk
             c = ck.unpack_texts(name, value)
             w = _Words(c, window)
             gone = _removed(c, w, answers, window)
@@ -205,9 +205,9 @@ def dedup(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = ck.CHUNK_BYT
     """(doc_id, n_words, n_removed, kept): kept is the text that stays, its words joined by one space (or the SHA-256 of it)."""
     if window < 2:
         raise ValueError("a window has two words at least")
-    n = partitions(docs.sparkSession)
+    n = buckets(docs)
     texts = ck.text_rows(docs, chunk_bytes)
-    probes = ck.texts_of(docs).mapInArrow(_send_probes(n, chunk_bytes, window), ck.SCHEMA)
+    probes = texts.mapInArrow(_send_probes(n, window), ck.SCHEMA)
     anchors = probes.groupBy("bucket").applyInArrow(_find_anchors, ck.SCHEMA)
     windows = texts.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInArrow(_send_windows(n, window), ck.SCHEMA)
     repeats = windows.groupBy("bucket").applyInArrow(_find_repeats, ck.SCHEMA)
@@ -216,3 +216,22 @@ def dedup(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = ck.CHUNK_BYT
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
+OP4_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), p AS (
+  SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS pos FROM w WHERE len(words) >= 20
+), k AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY array_to_string(words[pos:pos + 19], ' ') ORDER BY doc_id, pos) AS nth FROM p
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS at FROM k WHERE nth > 1
+), word AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS at FROM w
+), kept AS (
+  SELECT word.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY word.at) AS text FROM word LEFT JOIN gone ON word.doc_id = gone.doc_id AND word.at = gone.at WHERE gone.at IS NULL GROUP BY word.doc_id
+)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
