@@ -1,10 +1,10 @@
 """BPE encoding and decoding by a table of distinct words.
 
-Encoding: texts are split into pre-tokens in chunks of bounded size. Each chunk keeps a list of its distinct words, in order, and every document becomes positions in that list. The chunks' lists are dealt out by word, so each distinct word of the corpus meets in one task and is encoded there once; the ids go back to the chunks by position and are joined to the documents. Only distinct words and compressed positions are shuffled, never texts.
+Encoding: texts are split into pre-tokens in chunks of bounded size, once, and the chunks are kept in the shared folder. Each chunk keeps a list of its distinct words, in order, and every document becomes positions in that list. The chunks' lists are dealt out by word, so each distinct word of the corpus meets in one task and is encoded there once; the ids go back to the chunks by position and are joined to the documents. Only distinct words and their ids are shuffled; positions stay in the chunk's file, and texts are read once.
 
 Decoding: ids are joined to the table of pieces (bounded: the vocabulary) by id, and the pieces' bytes are put together by position.
 
-Defined cases: a null text counts as empty and has no ids; null and repeated doc_ids are kept, row for row; other columns of the input are ignored; an empty table gives an empty result. Special tokens' strings inside texts become their ids, as in the library.
+Defined cases: a null text counts as empty and has no ids; a text of any length is one row of one chunk, and is encoded whole; there are no ties; null and repeated doc_ids are kept, row for row; other columns of the input are ignored; an empty table gives an empty result. Special tokens' strings inside texts become their ids, as in the library.
 """
 
 from __future__ import annotations
@@ -12,15 +12,18 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import binaries, pack, partitions, ragged, slices, table, trim, unpack
+from ._chunks import from_planes, planes
+from ._common import binaries, bounded_batches, buckets, pack, ragged, shared_dir, slices, store_of, table, through_storage, trim, unpack
 from ._tokens import encoder, splitter
 
 #: Bytes of text whose words share one list.
@@ -68,34 +71,33 @@ def _dealt(keys: list[bytes], n: int) -> np.ndarray:
     return np.fromiter(map(zlib.crc32, keys), np.uint32, len(keys)) % np.uint32(n)
 
 
-def _lists(path: str, n: int, size: int, documents: bool):
-    """mapInArrow: rows (kind, key, chunk, payload); kind 0: words of a chunk for bucket key, kind 1: documents of a chunk."""
+def _lists(path: str, n: int, size: int, folder: str):
+    """mapInArrow: for each chunk a file with its documents, a row (chunk, -1, nothing) and one (chunk, bucket, its words for that bucket) for each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]):
+        store, base = store_of(folder)
+        store.create_dir(base, recursive=True)
         for rows, words, positions, counts in _chunks(batches, ["doc_id"], path, size):
             keys = list(map(_word_key, words))
-            # named by all that it holds: the two reads of the input must agree, and equal chunks may share their words
-            chunk = hashlib.md5(b"\0".join([repr(rows[0]).encode(), counts.tobytes(), positions.tobytes(), *keys])).hexdigest()
-            if documents:
-                payload = pack(
-                    doc_id=np.array([x or 0 for x in rows[0]], np.int64),
-                    null=np.array([x is None for x in rows[0]], bool),
-                    counts=counts,
-                    bucket=_dealt(keys, n).astype(np.uint16 if n <= 1 << 16 else np.uint32),
-                    positions=np.frombuffer(pa.compress(positions.tobytes(), "zstd", asbytes=True) if len(positions) else b"", np.uint8),
-                    size=np.array([len(positions)], np.int64),
-                )
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([-1], pa.int32()), pa.array([payload], pa.binary())], ["chunk", "bucket", "payload"])
-            else:
-                buckets = _dealt(keys, n)
-                order = np.argsort(buckets, kind="stable")
-                bounds = np.searchsorted(buckets[order], np.arange(n + 1))
-                picked = [keys[i] for i in order.tolist()]
-                lengths = np.fromiter(map(len, picked), np.uint32, len(picked))
-                full = [b for b in range(n) if bounds[b] < bounds[b + 1]]
-                payloads = [pack(lengths=lengths[bounds[b] : bounds[b + 1]], raw=np.frombuffer(b"".join(picked[bounds[b] : bounds[b + 1]]), np.uint8)) for b in full]
-                payloads = [len(p).to_bytes(8, "little") + pa.compress(p, "zstd", asbytes=True) for p in payloads]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(full), pa.string()), pa.array(full, pa.int32()), pa.array(payloads, pa.binary())], ["chunk", "bucket", "payload"])
+            dealt = _dealt(keys, n)
+            payload = pack(
+                doc_id=np.array([x or 0 for x in rows[0]], np.int64),
+                null=np.array([x is None for x in rows[0]], bool),
+                counts=counts,
+                bucket=dealt.astype(np.min_scalar_type(n)),
+                **_ranked(positions, len(words)),
+            )
+            order = np.argsort(dealt, kind="stable")
+            bounds = np.searchsorted(dealt[order], np.arange(n + 1))
+            picked = [keys[i] for i in order.tolist()]
+            lengths = np.fromiter(map(len, picked), np.uint32, len(picked))
+            full = [b for b in range(n) if bounds[b] < bounds[b + 1]]
+            payloads = [_zip(pack(lengths=lengths[bounds[b] : bounds[b + 1]], raw=np.frombuffer(b"".join(picked[bounds[b] : bounds[b + 1]]), np.uint8))) for b in full]
+            # the rows are kept in the shared folder before anything reads them: a repeated task leaves at most files that no row names
+            chunk = uuid.uuid4().hex
+            with store.open_output_stream(f"{base}/{chunk}") as out:
+                out.write(_zip(payload))
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * (1 + len(full))), pa.array([-1, *full], pa.int32()), pa.array([b"", *payloads], pa.binary())], ["chunk", "bucket", "payload"])
 
     return run
 
@@ -106,7 +108,22 @@ def _unzip(view) -> dict:
 
 
 def _zip(p: bytes) -> bytes:
-    return len(p).to_bytes(8, "little") + pa.compress(p, "zstd", asbytes=True)
+    return len(p).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(p, asbytes=True)
+
+
+def _ranked(positions: np.ndarray, n: int) -> dict[str, np.ndarray]:
+    """Positions as ranks by frequency: a byte each for the first 255, 255 and the rest apart for others."""
+    order = np.argsort(-np.bincount(positions, minlength=n), kind="stable").astype(np.uint32)
+    rank = np.empty(n, np.uint32)
+    rank[order] = np.arange(n, dtype=np.uint32)
+    ranks = rank[positions]
+    return {"order": order, "low": np.minimum(ranks, 255).astype(np.uint8)} | {f"r{k}": v for k, v in planes(ranks[ranks >= 255] - np.uint32(255)).items()}
+
+
+def _positions(x: dict[str, np.ndarray]) -> np.ndarray:
+    ranks = x["low"].astype(np.int64)
+    ranks[ranks == 255] += from_planes(x, "r").astype(np.int64)
+    return x["order"][ranks].astype(np.int64)
 
 
 def _encode_bucket(path: str):
@@ -134,44 +151,32 @@ def _encode_bucket(path: str):
     return run
 
 
-def _join_chunk(group: pa.Table):
-    """A chunk's documents (one set for each chunk of that name) with what joins their positions to the ids of its words."""
-    heads, parts = [], {}
-    for bucket, view in zip(group.column("bucket").to_pylist(), binaries(group.column("payload")), strict=True):
-        if bucket < 0:
-            heads.append(unpack(view))
-        else:
-            parts[bucket] = _unzip(view)
-    if not heads:
-        raise ValueError("a chunk's words came without its documents: the input is not read alike twice")
-    head = heads[0]
-    buckets = head["bucket"].astype(np.int64)
-    lengths = np.zeros(len(buckets), np.int64)
-    sources = np.zeros(len(buckets), np.int64)
+def _join_chunk(group: pa.Table, folder: str):
+    """A chunk's documents with what joins their positions to the ids of its words."""
+    parts = {b: _unzip(v) for b, v in zip(group.column("bucket").to_pylist(), binaries(group.column("payload")), strict=True) if b >= 0}
+    store, base = store_of(folder)
+    with store.open_input_file(f"{base}/{group.column('chunk')[0].as_py()}") as f:
+        head = _unzip(memoryview(f.read_buffer()))
+    dealt = head["bucket"].astype(np.int64)
+    lengths = np.zeros(len(dealt), np.int64)
+    sources = np.zeros(len(dealt), np.int64)
     flat, base = [], 0
-    order = np.argsort(buckets, kind="stable")
-    bounds = np.searchsorted(buckets[order], np.arange(int(buckets.max(initial=-1)) + 2))
+    order = np.argsort(dealt, kind="stable")
+    bounds = np.searchsorted(dealt[order], np.arange(int(dealt.max(initial=-1)) + 2))
     for b in range(len(bounds) - 1):
         own = order[bounds[b] : bounds[b + 1]]
         if not len(own):
             continue
-        x = parts.get(b)
-        if x is None or len(x["lengths"]) != len(own):
-            raise ValueError("the words of a chunk differ between two reads of the input")
+        x = parts[b]
         own_lengths = x["lengths"].astype(np.int64)
         lengths[own] = own_lengths
         sources[own] = base + np.concatenate(([0], np.cumsum(own_lengths)))[:-1]
         flat.append(x["ids"])
         base += len(x["ids"])
-    size = int(head["size"][0])
-    positions = np.frombuffer(pa.decompress(pa.py_buffer(head["positions"]), decompressed_size=4 * size, codec="zstd"), np.uint32) if size else np.zeros(0, np.uint32)
+    positions = _positions(head)
     ids = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
     word_bounds = np.concatenate(([0], np.cumsum(head["counts"])))
     doc_ids = [None if null else int(d) for d, null in zip(head["doc_id"], head["null"], strict=True)]
-    if len(heads) > 1:  # repeated rows filled whole chunks with equal contents
-        n = len(heads)
-        doc_ids, positions = doc_ids * n, np.tile(positions, n)
-        word_bounds = np.concatenate(([0], np.cumsum(np.tile(head["counts"], n))))
     return doc_ids, word_bounds, positions, sources, lengths, ids
 
 
@@ -197,21 +202,34 @@ def decoded(path: str, ids: np.ndarray) -> str:
     return raw[ragged(starts[ids], starts[ids + 1] - starts[ids])].tobytes().decode("utf-8", "replace")
 
 
+def decoded_each(path: str, lists: pa.Array) -> list:
+    """The texts of a column of lists of ids: one gather over all of them, null for null."""
+    starts, raw = pieces(path)
+    ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    known = ids < len(starts) - 1
+    ids = np.where(known, ids, 0)
+    sizes = np.where(known, starts[ids + 1] - starts[ids], 0)
+    data = raw[ragged(starts[ids], sizes)].tobytes()
+    at = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum([n or 0 for n in pc.list_value_length(lists).to_pylist()])))].tolist()
+    return [data[a:b].decode("utf-8", "replace") if ok else None for a, b, ok in zip(at[:-1], at[1:], lists.is_valid().to_pylist(), strict=True)]
+
+
 def _per_chunk(docs: DataFrame, path: str, then, schema: str, chunk_bytes: int) -> DataFrame:
-    n = partitions(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
+    n = buckets(docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kind = "chunk string, bucket int, payload binary"
-    lists = texts.mapInArrow(_lists(path, n, chunk_bytes, False), kind)
-    codes = texts.mapInArrow(_lists(path, n, chunk_bytes, True), kind)
-    ids = lists.groupBy("bucket").applyInArrow(_encode_bucket(path), kind)
-    return ids.unionByName(codes).groupBy("chunk").applyInArrow(then, schema)
+    # split once and kept: both sides of the join below read the same chunks, whatever order the input comes in
+    folder = shared_dir(docs.sparkSession, "bpe-chunks")
+    stored = through_storage(texts.mapInArrow(_lists(path, n, chunk_bytes, folder), kind), "bpe")
+    ids = stored.where("bucket >= 0").groupBy("bucket").applyInArrow(_encode_bucket(path), kind)
+    return ids.unionByName(stored.where("bucket < 0")).groupBy("chunk").applyInArrow(lambda group: then(*_join_chunk(group, folder)), schema)
 
 
 def encode(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, ids array<int>) of docs(doc_id, text)."""
 
-    def run(group: pa.Table) -> pa.Table:
-        doc_ids, bounds, positions, sources, lengths, ids = _join_chunk(group)
+    def run(doc_ids, bounds, positions, sources, lengths, ids) -> pa.Table:
         out = [ids[ragged(sources[p], lengths[p])].astype(np.int32) for p in (positions[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True))]
         return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array(out, pa.list_(pa.int32()))})
 
@@ -223,9 +241,9 @@ def decode(tokens: DataFrame, path: str, to: str = "text") -> DataFrame:
     if to in tokens.columns:
         raise ValueError(f"there is a column {to}")
 
-    @F.pandas_udf("string")
-    def text_of(x):
-        return x.map(lambda ids: None if ids is None else decoded(path, np.asarray(ids)))
+    @F.arrow_udf("string")
+    def text_of(x: pa.Array) -> pa.Array:
+        return pa.array(decoded_each(path, x), pa.string())
 
     return tokens.withColumn(to, text_of("ids"))
 
@@ -233,8 +251,7 @@ def decode(tokens: DataFrame, path: str, to: str = "text") -> DataFrame:
 def digests(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): what encode() and decode() give, as digests."""
 
-    def run(group: pa.Table) -> pa.Table:
-        doc_ids, bounds, positions, sources, lengths, ids = _join_chunk(group)
+    def run(doc_ids, bounds, positions, sources, lengths, ids) -> pa.Table:
         sizes, of_ids, of_text = [], [], []
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             p = positions[a:b]
