@@ -4,9 +4,11 @@ Nearest by Euclidean distance is largest by q.x - |x|^2 / 2, an inner product wi
 
 With the quantisation error e of a vector and the leaf's centre c, the score's error is c.e, which is known, and (q - c).e, which is at most |q - c| |e|. All vectors of a block whose score could, within that bound, reach the k-th best exact one are ranked exactly too, in bounded pieces. So a block's nearest are the true ones, however many near copies share codes; only leaves that are not probed can hide neighbours.
 
-Leaf centres and codewords come from a bounded sample (SAMPLE vectors, the smallest by a hash of vec_id); every vector is indexed. Leaves with many vectors are split into blocks, so a vector that a third of the rows repeat does not fill one task. Ties go to the smaller vec_id, also where candidates are cut off.
+Leaf centres and codewords come from a bounded sample (SAMPLE vectors, the smallest by a hash of vec_id); every vector is indexed. There are about as many leaves as the root of the number of rows (LEAST_LEAVES to MOST_LEAVES). How many of them a query probes is measured: sample vectors look for their nearest among the sample, and as many leaves are probed as hold RECALL of these (the corpus is denser than the sample, so its neighbours lie closer and are held by fewer leaves). Vectors without structure need most leaves, clustered ones few.
 
-Defined cases: vectors that are null, zero, of another length than the most frequent one (the smaller of two alike), or hold null or non-finite components take no part, neither as queries nor as candidates; null vec_ids take no part; rows with the query's vec_id are never its neighbours; other columns are ignored; an empty table gives an empty result.
+Leaves with many vectors are split into blocks, and a leaf's queries into runs of QUERIES, so neither a vector that a third of the rows repeat nor a leaf that every query probes fills one task. Ties go to the smaller vec_id, also where candidates are cut off.
+
+Defined cases: repeated rows count once; of rows with one vec_id and different vectors the smallest (component by component) is the query, and each is a candidate, but a vec_id is named once, with its nearest; vectors of any finite length of components take part, as all sums are in doubles; vectors that are null, zero, of another length than the most frequent one (the smaller of two alike), or hold null or non-finite components take no part, neither as queries nor as candidates; null vec_ids take no part; rows with the query's vec_id are never its neighbours; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,28 +18,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import binaries, bounded_batches, table
+from . import _chunks as ck
+from ._common import binaries, bounded_batches, table, through_storage
 
-SAMPLE, LEAVES, PROBES, CODES, ETA, SWEEPS = 16_384, 64, 44, 16, 4.0, 3
+SAMPLE, LEAST_LEAVES, MOST_LEAVES, CODES, ETA, SWEEPS = 16_384, 16, 1024, 16, 4.0, 3
+#: Share of the sample's nearest that probed leaves must hold; sample vectors that look for theirs.
+RECALL, ASKED = 0.97, 512
 #: First candidates of a query in a block, which set the distance to beat; vectors in a block; vectors compared exactly at once.
-RERANK, BLOCK, PIECE = 48, 16_384, 2_048
+RERANK, BLOCK, PIECE = 16, 16_384, 2_048
+#: Queries that one task compares with a block.
+QUERIES = 4_096
 #: Rounding of a score in doubles, relative to the squared lengths that it is made of.
 ROUNDING = 1e-11
 
 
-def valid(rows: DataFrame) -> tuple[DataFrame, int]:
-    """(rows(vec_id, embedding array<float>) that take part, their length)"""
+def valid(rows: DataFrame) -> tuple[DataFrame, int, int]:
+    """(rows(vec_id, embedding array<float>) that take part, their length, how many there are)"""
     fine = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     fine = fine.where("vec_id IS NOT NULL AND embedding IS NOT NULL").where(finite & F.exists("embedding", lambda x: x != 0))
     first = fine.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     dim = first["dim"] if first else 0
-    return fine.where(F.size("embedding") == dim), dim
+    return fine.where(F.size("embedding") == dim), dim, first["count"] if first else 0
 
 
 def matrix(column) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -58,7 +65,7 @@ def _centres(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
 class Model:
     """Leaf centres and codewords."""
 
-    def __init__(self, x: np.ndarray, leaves: int = LEAVES, eta: float = ETA, seed: int = 3):
+    def __init__(self, x: np.ndarray, leaves: int, eta: float = ETA, seed: int = 3):
         self.dim, self.eta = x.shape[1], eta
         self.pairs = -(-self.dim // 2)
         self.centres = _centres(x, leaves, 10, seed)
@@ -121,6 +128,21 @@ class Model:
     def probes(self, q: np.ndarray, most: int) -> np.ndarray:
         return np.argsort(-(q @ self.centres.T - 0.5 * (self.centres**2).sum(axis=1)), axis=1, kind="stable")[:, :most]
 
+    def wanted(self, x: np.ndarray, k: int, recall: float = RECALL, asked: int = ASKED, seed: int = 4) -> int:
+        """How many leaves hold `recall` of the k nearest of vectors of x among x."""
+        own = np.random.default_rng(seed).choice(len(x), min(asked, len(x)), replace=False)
+        leaf = _nearest(x, self.centres)
+        place = np.argsort(self.probes(x[own], len(self.centres)), axis=1)  # of each leaf in the order of a query's probes
+        half = 0.5 * (x**2).sum(axis=1)
+        near = []
+        for row, i in enumerate(own.tolist()):
+            score = x @ x[i] - half
+            score[i] = -np.inf
+            top = np.argpartition(-score, min(k, len(x) - 1) - 1)[:k] if len(x) > 1 else np.zeros(0, np.int64)
+            near.append(place[row, leaf[top]])
+        near = np.sort(np.concatenate(near))
+        return 1 + int(near[min(len(near) - 1, int(np.ceil(recall * len(near))))]) if len(near) else 1
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """For one query, the inner product of each byte of two codes: (bytes, 256)."""
         each = (self.words * self._split(q[None])[0][:, None]).sum(axis=2)
@@ -129,6 +151,13 @@ class Model:
         return (each[::2, :, None] + each[1::2, None, :]).reshape(-1, 256)
 
 
+def _distinct(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The places of distinct rows (id, vector), by id."""
+    order = np.lexsort((*x.T[::-1], ids))
+    i, v = ids[order], x[order]
+    return order[np.append(True, (i[1:] != i[:-1]) | (v[1:] != v[:-1]).any(axis=1))]
+
+
 def _distances(x: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Exact distances of the rows of x to v, a piece at a time."""
     return np.concatenate([np.sqrt(((x[a : a + PIECE].astype(np.float64) - v) ** 2).sum(axis=1)) for a in range(0, len(x), PIECE)] or [np.zeros(0)])
@@ -137,8 +166,9 @@ def _distances(x: np.ndarray, v: np.ndarray) -> np.ndarray:
 def _search_block(model: Model, found: dict, q_ids: np.ndarray, q: np.ndarray, k: int, rerank: int):
     """The k nearest of each query among the vectors of one block: scan of codes, exact distances of the best and of all that could be as near."""
     ids, x, codes, leaf = found["ids"], found["x"].reshape(-1, model.dim), found["codes"].reshape(len(found["ids"]), -1), int(found["leaf"][0])
-    order = np.argsort(ids, kind="stable")
+    order = _distinct(ids, x)
     ids, x, codes = ids[order], x[order], codes[order]
+    asked, k = k, k * int(np.diff(np.append(ck.runs(ids), len(ids))).max())  # rows that hold the k nearest vec_ids
     centre, half, error, shift = model.centres[leaf].astype(np.float64), np.empty(len(ids)), np.empty(len(ids)), np.empty(len(ids))
     for a in range(0, len(ids), PIECE):
         own = slice(a, a + PIECE)
@@ -165,25 +195,29 @@ def _search_block(model: Model, found: dict, q_ids: np.ndarray, q: np.ndarray, k
             pick = np.arange(len(ids))
         pick = pick[np.isfinite(approx[pick])]
         d = np.concatenate([_distances(x[pick[a : a + PIECE]], v) for a in range(0, len(pick), PIECE)] or [np.zeros(0)])
-        best = np.lexsort((ids[pick], d))[:k]
+        best = np.lexsort((ids[pick], d))
+        best = best[np.sort(np.unique(ids[pick][best], return_index=True)[1])][:asked]
         out.append((np.full(len(best), qid), ids[pick][best], d[best]))
     return [np.concatenate(c) for c in zip(*out, strict=True)]
 
 
-def search(rows: DataFrame, every: int, k: int = 10, probes: int = PROBES, leaves: int = LEAVES, rerank: int = RERANK) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each row whose vec_id is divisible by `every`."""
+def search(rows: DataFrame, every: int, k: int = 10, probes: int | None = None, leaves: int | None = None, rerank: int = RERANK) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found of each vec_id that is divisible by `every`."""
     spark = rows.sparkSession
     bounded_batches(spark)
     schema = "query_id long, rank int, vec_id long, score double"
-    rows, dim = valid(rows)
+    rows, dim, count = valid(rows)
     if not dim:
         return spark.createDataFrame([], schema)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
-    model = Model(matrix(sample.column("embedding")), leaves)
+    sample = matrix(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow().column("embedding"))
+    model = Model(sample, leaves or min(MOST_LEAVES, max(LEAST_LEAVES, round(count**0.5))))
+    probes = probes or model.wanted(sample, k)
+    del sample
 
     def leaf_of(batches):
         for b in batches:
             if b.num_rows:
+                b = b.take(pa.array(np.sort(_distinct(b.column(0).to_numpy(), matrix(b.column(1))))))
                 leaf, codes = model.encode(matrix(b.column(1)))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(leaf, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "embedding", "leaf", "codes"])
 
@@ -194,11 +228,6 @@ def search(rows: DataFrame, every: int, k: int = 10, probes: int = PROBES, leave
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([pa.array(_nearest(matrix(b.column(1)), model.centres), pa.int32())], ["leaf"])
 
-    # one count a leaf: a number of rows that the model bounds
-    blocks = {r["leaf"]: -(-r["count"] // BLOCK) for r in rows.mapInArrow(leaf_only, "leaf int").groupBy("leaf").count().collect()}
-    of_leaf = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair])
-    coded = coded.withColumn("block", F.pmod(F.xxhash64("vec_id"), of_leaf[F.col("leaf")]).cast("int"))
-
     def probe(batches):
         for b in batches:
             if b.num_rows:
@@ -206,8 +235,18 @@ def search(rows: DataFrame, every: int, k: int = 10, probes: int = PROBES, leave
                 at = np.repeat(np.arange(b.num_rows), q.shape[1])
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(q.reshape(-1), pa.int32())], ["vec_id", "embedding", "leaf"])
 
-    asked = rows.where(F.col("vec_id") % every == 0).mapInArrow(probe, "vec_id long, embedding array<float>, leaf int").where(F.col("leaf").isin(list(blocks)))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), of_leaf[F.col("leaf")].cast("int") - 1)))
+    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    asked = through_storage(queries.mapInArrow(probe, "vec_id long, embedding array<float>, leaf int"), "ann-queries")
+    # two counts a leaf: numbers of rows that the model bounds
+    blocks = {r["leaf"]: -(-r["count"] // BLOCK) for r in rows.mapInArrow(leaf_only, "leaf int").groupBy("leaf").count().collect()}
+    turns = {r["leaf"]: -(-r["count"] // QUERIES) for r in asked.groupBy("leaf").count().collect()}
+    if not turns:
+        return spark.createDataFrame([], schema)
+    of = lambda counts: F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])[F.col("leaf")]
+    every_of = lambda n: F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
+    own_of = lambda n: F.pmod(F.xxhash64("vec_id"), n).cast("int")
+    coded = coded.where(F.col("leaf").isin(list(turns))).withColumns({"block": own_of(of(blocks)), "turn": every_of(of(turns))})
+    asked = asked.where(F.col("leaf").isin(list(blocks))).withColumns({"block": every_of(of(blocks)), "turn": own_of(of(turns))})
 
     def run(x: pa.Table, q: pa.Table) -> pa.Table:
         empty = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], ["query_id", "vec_id", "score"])
@@ -217,7 +256,9 @@ def search(rows: DataFrame, every: int, k: int = 10, probes: int = PROBES, leave
         ids, q_ids, score = _search_block(model, found, q.column("vec_id").to_numpy(), matrix(q.column("embedding")), k, rerank)
         return pa.table([pa.array(ids), pa.array(q_ids), pa.array(score)], ["query_id", "vec_id", "score"])
 
-    near = coded.groupBy("leaf", "block").cogroup(asked.groupBy("leaf", "block")).applyInArrow(run, "query_id long, vec_id long, score double")
+    on = ["leaf", "block", "turn"]
+    near = coded.groupBy(*on).cogroup(asked.groupBy(*on)).applyInArrow(run, "query_id long, vec_id long, score double")
+    near = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
