@@ -8,11 +8,12 @@ Words are lower-cased (A-Z) runs without white space. A text is contaminated by
 
 Items are read to the driver in blocks of at most ITEM_WORDS words, and the corpus is read once for each block, without a shuffle.
 
-Defined cases: null and empty texts and items match nothing; null and repeated doc_ids are kept row for row, one row for each item found; items with the same item_id are looked for one by one and reported once with the fewest edits; null item_ids are ignored; other columns are ignored; empty tables give an empty result.
+Defined cases: null and empty texts and items match nothing; a text of any length is searched whole; of runs with equally few edits the first that ends, then the longest, is reported; null and repeated doc_ids are kept row for row, one row for each item found; items with the same item_id are looked for one by one and reported once with the fewest edits; null item_ids are ignored; other columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._chunks import texts_of
-from ._common import LOWER, U64, bounded_batches, grams, mix, ragged, slices, table, word_hashes, words
+from ._common import LOWER, U64, bounded_batches, filtered, grams, mix, ragged, slices, table, word_hashes, words
 
 PERCENT, RECALL = 80, 0.98
 WALKS, BANDS, SAMPLED = 8, 48, 2
@@ -233,6 +234,18 @@ class Items:
         return [(d, i, *v) for (d, i), v in sorted(found.items())]
 
 
+_prepared: dict[tuple, Items] = {}
+
+
+def prepared(ids: list[int], texts: list[str], percent: int) -> Items:
+    """The tables of a block, made once in a worker and kept for its later tasks."""
+    key = (percent, hashlib.md5(repr((ids, texts)).encode()).digest())
+    if key not in _prepared:
+        _prepared.clear()
+        _prepared[key] = Items(ids, texts, percent)
+    return _prepared[key]
+
+
 def _blocks(benchmark: DataFrame, most: int):
     ids, texts, held = [], [], 0
     for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
@@ -252,7 +265,7 @@ def find(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, item_wor
     for ids, texts in _blocks(benchmark, item_words):
 
         def run(batches, ids=ids, texts=texts):
-            items = Items(ids, texts, percent)
+            items = prepared(ids, texts, percent)
             for (own,), data, offsets in slices(batches, ["doc_id"]):
                 data = LOWER[data]
                 s, e, first = words(data, offsets)
@@ -270,19 +283,16 @@ def clean(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, item_wo
     bounded_batches(docs.sparkSession)
     for ids, texts in _blocks(benchmark, item_words):
 
-        def run(batches, ids=ids, texts=texts):
-            items = Items(ids, texts, percent)
-            for batch in batches:
-                good, at = np.ones(batch.num_rows, bool), 0
-                column = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("text"))], ["text"])
-                for _, data, offsets in slices([column], []):
-                    data = LOWER[data]
-                    s, e, first = words(data, offsets)
-                    good[[at + x[0] for x in items.find(word_hashes(data, s, e), first)]] = False
-                    at += len(offsets) - 1
-                yield batch.filter(pa.array(good))
-
-        docs = docs.mapInArrow(run, docs.schema)
+        def good(batch, ids=ids, texts=texts):
+            items, out, at = prepared(ids, texts, percent), np.ones(batch.num_rows, bool), 0
+            for _, data, offsets in slices([batch], []):
+                data = LOWER[data]
+                s, e, first = words(data, offsets)
+                out[[at + x[0] for x in items.find(word_hashes(data, s, e), first)]] = False
+                at += len(offsets) - 1
+            return out
+
+        docs = filtered(docs, good)
     return docs
 
 

@@ -2,9 +2,9 @@
 
 A text is a bag of passages of PASSAGE bytes. Each passage becomes counts of hashed pairs of bytes and a few shares of byte classes; a learned layer encodes it. Gated attention weighs the passages, and the weighted sum is scored. Only labels of whole documents are used to learn the encoder, the gates and the score.
 
-Training reads a bounded sample of labelled rows: at most SAMPLE of each label, the smallest by a hash of doc_id, texts of at most LONGEST bytes; weights restore the shares of the labels. The sample's features reach the driver, the fit has a fixed number of steps, and every text of the corpus is then scored whole, without a shuffle.
+Training reads a bounded sample of labelled rows: at most SAMPLE of each label, the smallest by a hash of doc_id, whatever the length of their texts; a text of more than MOST passages trains with MOST of them, evenly spaced over all of it. Weights restore the shares of the labels. The sample's features reach the driver, the fit has a fixed number of steps, and every text of the corpus is then scored whole, without a shuffle.
 
-Defined cases: a null text is empty: one empty passage, with a score; null and repeated doc_ids are kept row for row; unlabelled rows are scored like others; with fewer than two labels in the sample the score is the share of label 1 (0.5 without labels); other columns are never inputs; an empty table gives an empty result.
+Defined cases: a null text is empty: one empty passage, with a score; null and repeated doc_ids are kept row for row; a doc_id that is repeated in docs trains with the smallest of its texts, one that has both labels does not train; a text of any length is scored by all its passages; ties of the hash go to the smaller doc_id; unlabelled rows are scored like others; with fewer than two labels in the sample the score is the share of label 1 (0.5 without labels); other columns are never inputs; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._chunks import texts_of
-from ._common import SPACES, bounded_batches, pack, slices, table, trim, unpack
+from ._common import SPACES, bounded_batches, filtered, pack, slices, table, trim, unpack
 
 PASSAGE, BINS, HIDDEN = 512, 256, 32
-SAMPLE, LONGEST, STEPS, THRESHOLD = 2500, 1 << 16, 600, 0.7
+SAMPLE, MOST, STEPS, THRESHOLD = 2500, 128, 600, 0.7
 _BLOCK = 1 << 20
 _PAIR = np.random.default_rng(77).integers(0, BINS, 1 << 16, dtype=np.int64)
 _CLASS = np.full(256, 7)
@@ -113,19 +113,21 @@ def held_out(doc_id):
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: int = STEPS) -> dict | float:
     """Parameters from labels(doc_id, quality) whose doc_id is not held out; a constant score where there is nothing to tell apart."""
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IN (0, 1)").where(~held_out(F.col("doc_id")))
+    labels = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("top")).where("quality = top").drop("top")
     total = {r["quality"]: r["n"] for r in labels.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     if len(total) < 2:
         return float(next(iter(total), 0.5))
     one = labels.where("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     zero = labels.where("quality = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # at most 2 * sample rows
-    picked = F.broadcast(one.unionByName(zero).dropDuplicates(["doc_id"]))
-    texts = texts_of(docs).join(picked, "doc_id").where(F.octet_length(F.coalesce("text", F.lit(""))) <= LONGEST)
+    picked = F.broadcast(one.unionByName(zero))
+    texts = texts_of(docs).join(picked, "doc_id").groupBy("doc_id", "quality").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
     def run(batches):
         for (ids, quality), data, offsets in slices(batches, ["doc_id", "quality"]):
             x, first = passages(data, offsets)
-            yield pa.RecordBatch.from_arrays([ids, quality, pa.array([pack(x=x[a:b].astype(np.float16).reshape(-1)) for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["doc_id", "quality", "x"])
+            each = [np.unique(np.linspace(a, b - 1, min(b - a, MOST)).astype(np.int64)) for a, b in zip(first[:-1], first[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([ids, quality, pa.array([pack(x=x[at].astype(np.float16).reshape(-1)) for at in each], pa.binary())], ["doc_id", "quality", "x"])
 
     rows = texts.mapInArrow(run, "doc_id long, quality int, x binary").toArrow().sort_by("doc_id")
     y = rows.column("quality").to_numpy().astype(np.float64)
@@ -155,15 +157,7 @@ def keep(docs: DataFrame, model: dict | float, threshold: float = THRESHOLD) ->
     """The rows of docs whose `text` scores `threshold` or more, with all their columns."""
     bounded_batches(docs.sparkSession)
 
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                column = batch.column(batch.schema.get_field_index("text"))
-                one = pa.RecordBatch.from_arrays([column], ["text"])
-                s = np.concatenate([scores(model, data, offsets) for _, data, offsets in slices([one], [])])
-                yield batch.filter(pa.array(s >= threshold))
-
-    return docs.mapInArrow(run, docs.schema)
+    return filtered(docs, lambda batch: np.concatenate([scores(model, data, offsets) for _, data, offsets in slices([batch], [])]) >= threshold)
 
 
 def scores(model: dict | float, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -1,12 +1,12 @@
 """Secret scans with DataFrame functions only: fixed patterns, and runs of characters that look random to two Markov models.
 
-Base spans, each kind leftmost and non-overlapping: `assign` (a keyword, a separator and a value of 8 characters or more), `access` (an access key of 16 or more) and `hex` (32 or more). Candidates for the kind `random` are whole runs of 20 or more key characters that hold a digit; a run counts if a first-order character model of random strings gives it a clearly higher likelihood per character than one of ordinary identifiers, and no base span overlaps it.
+Base spans, each kind leftmost and non-overlapping: `assign` (a keyword, a separator and a value of 8 characters or more), `access` (an access key of 16 or more) and `hex` (32 or more). Candidates for the kind `random` are whole runs of 20 or more key characters; a run counts if a first-order character model of random strings gives its different pairs of neighbours (SHORTEST / 2 or more) a clearly higher likelihood than one of ordinary identifiers (a higher one still where it has no digit), and no base span covers all of it.
 
 Both models come from labelled samples (text, label: 1 random, 0 ordinary): pairs of characters are counted, smoothed by one half, and their logarithmic likelihood ratio is a table of fixed size, whatever the sample. samples() makes labelled rows by rule (SAMPLES of each label); any other labelled table can be given instead.
 
 Positions count code points, ends are exclusive: text is split at the matches, and the lengths of gaps and matches add up.
 
-Defined cases: a null text is empty and has no spans; null and repeated doc_ids are kept row for row; other columns are ignored; an empty table gives an empty result.
+Defined cases: a null text is empty and has no spans; a text of any length is searched whole, and its matches are added up in runs, so their number costs no square; spans that begin alike are ordered by kind and end; null and repeated doc_ids are kept row for row; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +20,10 @@ from ._common import table
 
 #: Labelled samples of each label that samples() makes, mean log-likelihood ratio from which a run is random, shortest run.
 SAMPLES, THRESHOLD, SHORTEST = 4096, 0.35, 20
+#: The ratio that a run without digits must reach, which long words of prose do not.
+LETTERS = 1.1
+#: Matches whose spans are gathered together.
+RUN = 256
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-"
 WIDTH = len(ALPHABET)
 KEYWORD = "((?i:password|passwd|secret|token|api_?key))"
@@ -27,7 +31,7 @@ ASSIGN = KEYWORD + "[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]{32,}"
 _RUN = "A-Za-z0-9+/_=-"
-RANDOM = f"(?<![{_RUN}])(?=[A-Za-z+/_=-]*+[0-9])[{_RUN}]{{{SHORTEST},}}+"
+RANDOM = f"(?<![{_RUN}])[{_RUN}]{{{SHORTEST},}}+"
 MASK = "[SECRET]"
 # parts of ordinary identifiers
 WORDS = "get set new old user account order item list map index count total value name type state status time date year month day start end first last next page size limit offset cache store table column row field key group file path folder config option flag level error message result response request handler service client server session event queue task worker thread process memory buffer stream reader writer parser token input output source target parent child node tree graph edge version update delete create insert select filter sort merge split join test example default local global public private static internal external".split()
@@ -70,7 +74,6 @@ def _spans(text: Column, pattern: str, kind: str, rank: int, ok=None, group: int
     judged = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
     parts = F.arrays_zip(matches.alias("m"), F.slice(gaps, F.lit(1), F.size(matches)).alias("g"), judged.alias("j"))
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,keep:boolean>>")
-    state = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
     def add(s, p):
         start = s["at"] + F.length(p["g"])
@@ -78,7 +81,11 @@ def _spans(text: Column, pattern: str, kind: str, rank: int, ok=None, group: int
         keep = ok(p["j"]) if ok else F.lit(True)
         return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), keep.alias("keep")))).alias("out"))
 
-    found = F.aggregate(parts, state, add, lambda s: F.filter(s["out"], lambda x: x["keep"]))
+    # matches are added up in runs of RUN: arrays that grow one by one would cost the square of the matches
+    run = lambda s, p: F.struct(F.aggregate(p, F.struct(s["last"]["at"].alias("at"), none.alias("out")), add).alias("last"), F.concat(s["runs"], F.array(s["last"]["out"])).alias("runs"))
+    state = F.struct(F.struct(F.lit(0).alias("at"), none.alias("out")).alias("last"), F.array().cast("array<array<struct<start:int,rank:int,end:int,kind:string,keep:boolean>>>").alias("runs"))
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(parts) - 1, F.lit(0)), F.lit(RUN)), lambda k: F.slice(parts, k + 1, F.lit(RUN)))
+    found = F.aggregate(runs, state, run, lambda s: F.filter(F.concat(F.flatten(s["runs"]), s["last"]["out"]), lambda x: x["keep"]))
     # most texts have no match: they are looked through once
     return F.when(text.rlike(pattern), found).otherwise(none)
 
@@ -89,14 +96,16 @@ def scan(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD, *mo
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
     def random(run: Column) -> Column:
-        pairs = _pairs(F.split(run, ""))
-        return F.aggregate(pairs, F.lit(0.0), lambda a, p: a + F.element_at(table_, p + 1)) >= threshold * F.size(pairs)
+        # each pair counts once: a run of few different pairs is a rule or a filler, however unlikely they are
+        pairs = F.array_distinct(_pairs(F.split(run, "")))
+        ratio = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + F.element_at(table_, p + 1)) / F.size(pairs)
+        return (F.size(pairs) >= SHORTEST // 2) & (ratio >= F.when(run.rlike("[0-9]"), threshold).otherwise(max(threshold, LETTERS)))
 
     kinds = F.concat(_spans(F.col("_text"), ASSIGN, "assign", 0, lambda v: F.length(v) >= 8, 2), _spans(F.col("_text"), ACCESS, "access", 1, lambda v: F.length(v) >= 16), _spans(F.col("_text"), HEX, "hex", 2))
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("_text"), *more)
     out = out.withColumn("base", F.array_sort(kinds))
-    # the models' kind is only judged where no base span lies
-    added = F.filter(_spans(F.col("_text"), RANDOM, "random", 3, random), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    # a run that goes beyond the base spans within it is a span of its own
+    added = F.filter(_spans(F.col("_text"), RANDOM, "random", 3, random), lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
     return out.withColumn("found", F.array_sort(F.concat("base", added))).withColumnRenamed("_text", "text")
 
 
@@ -106,7 +115,7 @@ def joined(spans: str) -> Column:
 
 def redact(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) -> DataFrame:
     """docs with every found span of `text`, overlapping ones as one, replaced by MASK; other columns stay, but n_chars, where there is one, follows a changed text."""
-    rows = docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     found = scan(rows, ratios, threshold, "row")
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
