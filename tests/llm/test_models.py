@@ -227,25 +227,46 @@ def test_archive(spark, tmp_path):
     digest = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
     want = [(3, 1, digest("a"), "revisit", 1), (1, 1, digest("a"), "response", None), (None, 1, digest("a"), "revisit", 1), (2, 0, digest(""), "response", None), (5, 0, digest(""), "revisit", 2), (5, 1, digest("b"), "response", None), (5, 1, digest("b"), "revisit", 5), (-4, 4, digest("é\r\n"), "response", None), (9, 300_000, digest("c" * 300_000), "response", None)]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    texts = {(p, digest(t)): (t or "").encode() for p, _, t in rows}
     for r in warc.records(spark, f"{tmp_path}/a").collect():
         head, _, rest = bytes(r["record"]).partition(b"\r\n\r\n")
         size = int(re.search(rb"Content-Length: (\d+)", head)[1])
-        assert rest[size:] == b"\r\n\r\n" and (rest[:size] == bytes(r["payload"]) if r["record_type"] == "response" else size == 0)
+        http, _, payload = rest[:size].partition(b"\r\n\r\n")
+        own = texts[r["page_id"], r["named_digest"]]
+        assert rest[size:] == b"\r\n\r\n" and http.startswith(b"HTTP/1.1 200 OK\r\n") and int(re.search(rb"Content-Length: (\d+)", http)[1]) == len(own)
+        assert payload == (own if r["record_type"] == "response" else b"")
     warc.write(pages, f"{tmp_path}/b", least=1)
     assert {tuple(r) for r in warc.digests(spark, f"{tmp_path}/b").where("payload_bytes = 0").select("page_id", "record_type").collect()} == {(2, "response"), (5, "response")}
     warc.write(pages.limit(0), f"{tmp_path}/c")
     assert warc.digests(spark, f"{tmp_path}/c").count() == 0
 
 
-def test_archive_as_sql(spark):
-    import duckdb
-
-    db = duckdb.connect()
-    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
-    want = db.execute(warc.OP8_SQL)
-    columns = [c[0] for c in want.description]
-    got = queries.QUERIES["op8_warc"](spark, SF)
-    assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == sorted(want.fetchall())
+def test_long_labelled_texts_train(spark):
+    r = np.random.default_rng(1)
+    text = lambda good: " ".join(r.choice(["good", "fine", "clear"] if good else ["zxq", "!!", "qqz"], 14_000))
+    docs = spark.createDataFrame([(i, text(i % 2)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(3, 0)], "doc_id long, quality int")
+    got = quality.score(docs, quality.train(docs, labels, steps=60)).collect()
+    assert all((x["score"] > 0.5) == x["doc_id"] % 2 for x in got)
+
+
+def test_pipeline_defined_cases(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(None, None, None, None, None), (10**6, None, "xx", None, None), (10**6 + 1, "", None, "s", 0), (10**6 + 1, "", None, "s", 0), (10**6 + 2, "word " * 60_000, "en", "s", 5)], docs.schema)
+    for table in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{table}.parquet").write.parquet(f"{tmp_path}/{table}.parquet")
+    clash = ["`a.b`", "token", "node", "row", "text_"]
+    more = docs.unionByName(odd).selectExpr("*", *[f"doc_id AS {c}" for c in clash])
+    more.write.parquet(f"{tmp_path}/documents.parquet")
+    now = more
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet") if now is more else now, str(tmp_path))
+        now.write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        assert name == "encode" or now.columns == more.columns
+    assert sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(str, now.collect()))
+    more.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_pipeline(spark):

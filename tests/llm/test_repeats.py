@@ -4,9 +4,11 @@ import hashlib
 import random
 import re
 
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
-from corvina.llm import components, jaccard_join, substring_dedup
+from corvina.llm import bpe, components, jaccard_join, substring_dedup
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -101,6 +103,46 @@ def test_hot_group_of_copies(spark):
     assert {r["component_id"] for r in got.collect()} == {0}
 
 
+def test_large_group_is_dealt_into_blocks(spark):
+    r, rows = random.Random(8), []
+    base = [f"w{k}" for k in range(150)]
+    for i in range(700):
+        w = list(base)
+        for _ in range(r.choice([0, 1, 2, 3, 3, 4])):
+            at = r.randrange(len(w))
+            w[at : at + 1] = r.choice([[], ["new"], [f"z{r.randrange(9)}", w[at]]])
+        rows.append((i, " ".join(w)))
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), chunk_bytes=50_000, block=40)
+    assert sorted(map(tuple, got.collect())) == joined(rows, 4, 85)
+
+
+def test_input_that_is_never_read_in_the_same_order(spark):
+    r = random.Random(9)
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = [(i, " ".join(f"w{r.randrange(900)}" for _ in range(r.randint(0, 60)))) for i in range(150)]
+    rows = [(i, t if i % 3 else f"{t} {passage}") for i, t in rows] + [(200 + i, rows[i][1] + " more") for i in range(0, 150, 2)]
+
+    def mixed(batches):
+        order = random.SystemRandom()
+        for b in batches:
+            yield b.take(order.sample(range(b.num_rows), b.num_rows))
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).mapInArrow(mixed, "doc_id long, text string")
+    assert sorted(map(tuple, substring_dedup.dedup(docs, chunk_bytes=2000, digest=True).collect())) == kept(rows, 20)
+    assert sorted(map(tuple, jaccard_join.join(docs, chunk_bytes=2000).collect())) == joined(rows, 4, 85)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    assert {r["doc_id"]: r["n_tokens"] for r in bpe.digests(docs, path, 2000).collect()} == {d: len(tok.encode(t).ids) for d, t in rows}
+
+
+def test_very_long_text(spark):
+    w = [f"w{k % 7001}" for k in range(300_000)]
+    rows = [(1, " ".join(w)), (2, " ".join(w[:299_000])), (3, "w1 w2 w3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, substring_dedup.dedup(docs, digest=True).collect())) == kept(rows, 20)
+    assert sorted(map(tuple, jaccard_join.join(docs).collect())) == joined(rows, 4, 85)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100), (205, 200), (203, 205), (None, 1)]
     got = components.components(spark.createDataFrame(edges, "a long, b long").repartition(4))

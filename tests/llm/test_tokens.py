@@ -79,28 +79,74 @@ def test_shards(spark, docs, tmp_path):
     folder = f"file://{tmp_path}/shards"
     manifest = token_files.write(docs, path, folder, shard_ids_bytes=2000)
     got = token_files.read(manifest, folder).collect()
-    want, start = [], 0
-    for d, t in sorted(ROWS, key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")):
-        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 1]
-        want.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-        start += len(ids)
-    assert sorted(map(tuple, got), key=lambda x: x[1]) == want
+    want = []
+    for d, t in ROWS:
+        want.append((d, [*tok.encode(t or "", add_special_tokens=False).ids, 1]))
+    assert sorted(((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got), key=str) == sorted(((d, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for d, x in want), key=str)
+    got.sort(key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == sorted((d for d, _ in ROWS), key=lambda d: (d is None, d or 0))
+    assert [r["start"] for r in got] == np.concatenate(([0], np.cumsum([r["n_tokens"] for r in got])[:-1])).tolist()
     assert manifest.count() > 2
+    asked = spark.createDataFrame([(3,), (99,), (0,), (12345,), (-1,), (None,)], "doc_id long")
+    found = token_files.lookup(manifest, folder, asked.union(asked)).collect()
+    assert sorted((r["doc_id"], r["ids"]) for r in found) == sorted((d, x) for d, x in want if d in (3, 99, 0))
     empty = token_files.write(docs.limit(0), path, folder + "0")
-    assert token_files.read(empty, folder + "0").count() == 0
+    assert token_files.read(empty, folder + "0").count() == 0 and token_files.lookup(empty, folder + "0", asked).count() == 0
+
+
+def test_rows_of_one_doc_id_over_shards(spark, tmp_path):
+    path = P.path("word_bpe_49k.json")
+    docs = spark.createDataFrame([(7, f"text {k} " + "a b " * 20) for k in range(40)] + [(8, "x"), (-5, "y")], "doc_id long, text string").repartition(3)
+    manifest = token_files.write(docs, path, str(tmp_path), shard_ids_bytes=300)
+    assert token_files.lookup(manifest, str(tmp_path), spark.createDataFrame([(7,), (-5,)], "doc_id long")).count() == 41
+
+
+def test_lookup_reads_a_bounded_number_of_bytes():
+    import pyarrow as pa
+
+    class Counted:
+        def __init__(self, raw):
+            self.file, self.read = pa.BufferReader(raw), 0
+
+        def read_at(self, n, at):
+            self.read += n
+            return self.file.read_at(n, at)
+
+    took = []
+    for n in (1000, 200_000):
+        d = np.arange(n)
+        file = Counted(token_files.shard_bytes(d, np.zeros(n, bool), np.zeros(n, np.int64), np.full(n, 2), np.repeat(d, 2).astype("<u4").tobytes(), 4))
+        shard = token_files.Shard(file)
+        file.read = 0
+        for x in range(0, n, n // 100):
+            (o,), (m,) = shard.find(token_files.key_of(np.array([x]), np.zeros(1, np.int64)))
+            assert shard.ids(o, m).tolist() == [x, x]
+        took.append(file.read / 100)
+    assert max(took) < 150
 
 
 def test_index():
     for n in (0, 1, 2, 1000, 20_000):
-        keys = token_files.key_of(np.arange(n), np.zeros(n, np.int64))
-        sizes, words = token_files.build_index(keys)
-        at = token_files.slots(keys, sizes, words)
+        d, zeros = np.arange(n), np.zeros(n, np.int64)
+        raw = token_files.shard_bytes(d, zeros.astype(bool), zeros, np.ones(n, np.int64), d.astype("<u2").tobytes(), 2)
+        import pyarrow as pa
+
+        shard = token_files.Shard(pa.BufferReader(raw))
+        offset, length = shard.find(token_files.key_of(d, zeros)) if n < 2000 else (d, 1 + zeros)
+        assert offset.tolist() == d.tolist() and (length == 1).all()
+        shard.load("words", "ranks", "prints", "offsets", "lengths", "ids")
+        offset, _ = shard.find(token_files.key_of(d, zeros))
+        assert (shard.held["ids"][offset] == d).all()
+        at = token_files.slots(token_files.key_of(d, zeros), shard.head["levels"], shard.fetch)
         assert sorted(at.tolist()) == list(range(n))
-    raw = token_files.shard_bytes(keys, np.arange(n), np.zeros(n, bool), np.ones(n, np.int64), np.arange(n, dtype="<u2").tobytes(), 2)
-    shard = token_files.Shard(raw)
-    offset, _ = shard.find(keys)
-    assert (shard.ids[offset] == np.arange(n)).all()
     strange = token_files.key_of(np.arange(n) + 10**9, np.zeros(n, np.int64))
     assert (shard.find(strange)[1] == -1).mean() > 0.999
     with pytest.raises(ValueError):
         token_files.build_index(np.array([7, 7], np.uint64))
+
+
+def test_aligned_ranges():
+    for low, high in ((0, 0), (-5, 9), (3, 1000), (-(2**63), 2**63 - 1), (2**62, 2**63 - 1)):
+        cells = list(token_files._aligned(low, high))
+        assert cells[0][1] << cells[0][0] == low and (cells[-1][1] + 1 << cells[-1][0]) - 1 == high
+        assert all((n + 1) << b == m << c for (b, n), (c, m) in zip(cells, cells[1:]))
