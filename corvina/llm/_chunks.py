@@ -91,7 +91,7 @@ def text_rows(docs: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
         for c in chunks(batches, size):
             yield row(c.name, -1, pack_texts(c))
 
-    return through_storage(texts_of(docs).mapInArrow(run, SCHEMA), "chunks")
+    return through_storage(texts_of(docs).mapInArrow(run, SCHEMA), "chunks", packed=True)
 
 
 def stored(batches):

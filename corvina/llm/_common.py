@@ -11,6 +11,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 
 _OWN_DIRS: dict[str, str] = {}
 #: Bytes of text that the vectorised code handles at once.
@@ -39,11 +40,15 @@ def store_of(folder: str):
     return fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
 
 
-def through_storage(df, name: str):
-    """Cuts the lineage: writes df to the shared folder and reads it back."""
+#: For rows of megabytes: row groups and pages end after few of them, so that readers hold little at once; they are compressed already.
+PACKED = {"compression": "uncompressed", "parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+
+
+def through_storage(df, name: str, packed: bool = False):
+    """Cuts the lineage: writes df to the shared folder and reads it back. packed: its rows are large and compressed."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    df.write.options(**(PACKED if packed else {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -241,3 +246,7 @@ def groups(keys: np.ndarray, n: int):
 
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+if TaskContext.get() is not None:
+    # in a worker, large arrays come from the system one by one and go back when they are freed, so that idle workers stay small
+    getattr(ctypes.CDLL(None), "mallopt", lambda *_: 0)(-3, 4 << 20)
+    pa.set_memory_pool(pa.system_memory_pool())

@@ -221,7 +221,7 @@ def _per_chunk(docs: DataFrame, path: str, then, schema: str, chunk_bytes: int)
     kind = "chunk string, bucket int, payload binary"
     # split once and kept: both sides of the join below read the same chunks, whatever order the input comes in
     folder = shared_dir(docs.sparkSession, "bpe-chunks")
-    stored = through_storage(texts.mapInArrow(_lists(path, n, chunk_bytes, folder), kind), "bpe")
+    stored = through_storage(texts.mapInArrow(_lists(path, n, chunk_bytes, folder), kind), "bpe", packed=True)
     ids = stored.where("bucket >= 0").groupBy("bucket").applyInArrow(_encode_bucket(path), kind)
     return ids.unionByName(stored.where("bucket < 0")).groupBy("chunk").applyInArrow(lambda group: then(*_join_chunk(group, folder)), schema)
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _chunks as ck
-from ._common import LOWER, SLICE_BYTES, U64, binaries, buckets, grams, groups, mix, pack, ragged, table, through_storage, unpack, word_hashes, words
+from ._common import LOWER, SLICE_BYTES, U64, binaries, buckets, grams, groups, mix, pack, ragged, table, through_storage, trim, unpack, word_hashes, words
 from .components import components, forest
 
 N, PERCENT = 4, 85
@@ -161,6 +161,8 @@ def _shared(n: int, dealt: int, percent: int):
             sums[k] = f"{int(size[k])}:{int(low[k]):x}:{int(high[k]):x}"
             kept[k] = to_bytes(key)
             heads[k] = key[: prefix[k] - lone[k]].astype(np.int64)
+        del keys, place, doc, values, level, own, replies
+        trim()
         return pa.table([pa.array(c.doc_id, mask=c.null), pa.array(size.astype(np.int64)), pa.array(sums, pa.string()), pa.array(lone.astype(np.int64)), pa.array(kept, pa.binary()), pa.array(heads, pa.list_(pa.int64()))], ["doc_id", "n", "sums", "lone", "keys", "head"])
 
     return run
@@ -238,6 +240,7 @@ def _verify(percent: int):
             keys = [from_bytes(raw[i]) for i in at.tolist()]
             sides = side[at]
             found += [(x, y, bool(large[at[0]])) for x, y in links_within(ids[at], n[at], lone[at], keys, percent, sides if len(set(sides.tolist())) > 1 else None, known[at])]
+        trim()
         x, y, z = zip(*found, strict=True) if found else ((), (), ())
         return pa.table([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(z, pa.bool_())], ["a", "b", "large"])
 
