@@ -20,9 +20,9 @@ DIGITS, LETTERS = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXY
 KEY = ["sha256", "n_bytes"]
 #: Parts in which a digest is joined to the pages that share it.
 SALTS = 16
-#: Payloads of at most this many bytes may be shared by many response records.
+#: Bytes below which payloads may, on demand, be in many response records.
 SMALL = 4096
-HEADERS, PAYLOADS = "sha256 string, n_bytes long, header string", "sha256 string, n_bytes long, digest string, lead struct<no_page:boolean,page_id:bigint,no_url:boolean,url:string>, payload binary"
+HEADERS, PAYLOADS = "sha256 string, n_bytes long, salt int, header string", "sha256 string, n_bytes long, digest string, lead struct<no_page:boolean,page_id:bigint,no_url:boolean,url:string>, shared boolean, payload binary"
 
 
 @F.arrow_udf(BinaryType())
@@ -66,7 +66,7 @@ def write(pages: DataFrame, folder: str, page: str = "page_id", url: str = "url"
     rows = rows.withColumns({"sha256": F.sha2("payload", 256), "n_bytes": F.octet_length("payload").cast("long"), "digest": base32_sha1(F.col("payload"))})
     first = F.struct(F.col("page_id").isNull().alias("no_page"), "page_id", F.col("url").isNull().alias("no_url"), "url")
     squeezed = rows.withColumn("payload", _squeezed("payload"))
-    stored = squeezed.groupBy(*KEY).agg(F.first("digest").alias("digest"), F.min(first).alias("lead"), F.first("payload").alias("payload"))
+    stored = squeezed.groupBy(*KEY).agg(F.first("digest").alias("digest"), F.min(first).alias("lead"), (F.col("n_bytes") < least).alias("shared"), F.first("payload").alias("payload"))
     stored.write.parquet(f"{folder}/payloads")
     leads = pages.sparkSession.read.schema(PAYLOADS).parquet(f"{folder}/payloads").select(*KEY, "digest", "lead").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     records = rows.select("page_id", "url", *KEY, _salt(F.concat_ws(" ", "page_id", "url")).alias("salt")).join(leads, [*KEY, "salt"])
@@ -86,7 +86,7 @@ def write(pages: DataFrame, folder: str, page: str = "page_id", url: str = "url"
     ]
     # concat_ws leaves out the lines that are null
     header = F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"))
-    records.select(*KEY, header.alias("header")).write.parquet(f"{folder}/headers")
+    records.select(*KEY, F.when(F.col("n_bytes") < least, F.col("salt")).otherwise(0).alias("salt"), header.alias("header")).write.parquet(f"{folder}/headers")
 
 
 def _field(name: str) -> Column:
@@ -102,14 +102,14 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
     """(page_id, record_type, refers_to, header, http, record): the exact bytes of each record, put together from its header and, for a response, its payload."""
     bounded_batches(spark)
     headers = _parsed(spark.read.schema(HEADERS).parquet(f"{folder}/headers"))
-    # only responses take a payload; small ones may be many to a payload
-    part = lambda among: F.when(F.col("n_bytes") <= SMALL, among).otherwise(0)
-    responses = headers.where("record_type = 'response'").withColumn("salt", part(_salt(F.col("header"))))
-    stored = spark.read.schema(PAYLOADS).parquet(f"{folder}/payloads").select(*KEY, "payload").withColumn("salt", F.explode(F.when(F.col("n_bytes") <= SMALL, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    # only responses take a payload: one for each, but for short ones that are never revisited, which come in parts
+    responses = headers.where("record_type = 'response'")
+    parts = F.when(F.col("shared"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    stored = spark.read.schema(PAYLOADS).parquet(f"{folder}/payloads").select(*KEY, "payload", F.explode(parts).alias("salt"))
     joined = responses.join(stored, [*KEY, "salt"]).drop("salt").withColumn("payload", _restored("payload", "n_bytes"))
     ok = (F.sha2("payload", 256) == F.col("sha256")) & (F.octet_length("payload") == F.col("n_bytes"))
     joined = joined.withColumn("payload", F.when(ok, F.col("payload")).otherwise(F.raise_error(F.lit("a stored payload is damaged")).cast("binary")))
-    every = joined.unionByName(headers.where("record_type = 'revisit'").withColumn("payload", F.lit(None).cast("binary")))
+    every = joined.unionByName(headers.drop("salt").where("record_type = 'revisit'").withColumn("payload", F.lit(None).cast("binary")))
     every = every.withColumn("http", _http(F.col("n_bytes")))
     record = F.concat(F.col("header").cast("binary"), F.col("http").cast("binary"), F.coalesce("payload", F.lit(b"")), F.lit(b"\r\n\r\n"))
     return every.select("page_id", "record_type", "refers_to", "named_digest", "n_bytes", F.octet_length("header").alias("header_bytes"), F.octet_length("http").alias("http_bytes"), record.alias("record"))
