@@ -5,6 +5,7 @@ One row for each annotated type with its mappings, and one for each mapped metho
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 
@@ -117,8 +118,8 @@ def routes(text: str) -> list[tuple[str, int, dict]]:
         if x in ("class", "interface", "record", "enum") and k + 1 < len(t) and re.match(r"[A-Za-z_]", t[k + 1][0]) and (k == 0 or t[k - 1][0] != "."):
             names = {n: a for n, a, _ in pending}
             if names.keys() & {"RestController", "Controller", "Path"}:
-                prefix = _paths(names.get("RequestMapping") or names.get("Path") or {})[0]
-                owner = {"name": t[k + 1][0], "prefix": prefix, "framework": "jaxrs" if "Path" in names else "spring"}
+                prefixes = _paths(names.get("RequestMapping") or names.get("Path") or {})
+                owner = {"name": t[k + 1][0], "prefixes": prefixes, "framework": "jaxrs" if "Path" in names else "spring"}
                 at_depth.append((depth, owner))
                 out.append(("controller", line, owner))
             pending = []
@@ -141,8 +142,8 @@ def routes(text: str) -> list[tuple[str, int, dict]]:
                 verbs += [(m, p) for m in [w.lower() for w, _ in a.get("method", []) if w.lower() in VERBS.values()] or ["get"] for p in _paths(a)]
             verbs += [(JAX[n], _paths(names.get("Path") or {})[0]) for n in names if n in JAX]
             status = next((w for w, _ in reversed(names.get("ResponseStatus", {}).get("value", []) or names.get("ResponseStatus", {}).get("code", []))), None)
-            for method, path in verbs:
-                out.append(("route", pending[0][2], {"owner": owner["name"], "framework": owner["framework"], "prefix": owner["prefix"], "method": method, "route": path, "function": t[k - 1][0], "status": status, "parameters": _parameters(t[k + 1 : end])}))
+            for prefix, (method, path) in itertools.product(owner["prefixes"], verbs):
+                out.append(("route", pending[0][2], {"owner": owner["name"], "framework": owner["framework"], "prefix": prefix, "method": method, "route": path, "function": t[k - 1][0], "status": status, "parameters": _parameters(t[k + 1 : end])}))
             pending = []
             k = end
         k += 1
@@ -161,7 +162,7 @@ def functional(text: str) -> list[tuple[str, int, dict]]:
         if k + 2 >= len(t) or t[k + 1][0] != "(" or k and t[k - 1][0] == "@":
             continue
         if x == "nest" and t[k + 2][0] in ("path", "RequestPredicates"):
-            at = next((j for j in range(k + 2, min(k + 8, len(t))) if quoted(j)), None)
+            at = next((j for j in range(k + 2, _closing(t, k + 1, "()")) if quoted(j)), None)
             if at is not None:
                 nests.append((k, _closing(t, k + 1, "()"), t[at][0][1:-1]))
         elif x == "path" and quoted(k + 2) and k + 3 < len(t) and t[k + 3][0] == ",":
@@ -169,7 +170,7 @@ def functional(text: str) -> list[tuple[str, int, dict]]:
         elif x in JAX and quoted(k + 2):
             end = _closing(t, k + 1, "()")
             # the handler comes within the same call, or right after the predicate's
-            stop = next((j for j in range(end, min(end + 40, len(t))) if t[j][0] in JAX or t[j][0] == ";"), min(end + 40, len(t)))
+            stop = next((j for j in range(end, len(t)) if t[j][0] in JAX or t[j][0] == ";"), len(t))
             named = next((t[j + 2][0] for j in range(k + 3, stop - 2) if t[j][0] == ":" and t[j + 1][0] == ":"), x.lower())
             prefix = "".join(p for a, b, p in nests if a < k <= b)
             route = t[k + 2][0][1:-1]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -55,6 +55,18 @@ def operation_base(method: Column, path: Column) -> Column:
     # leading ones only: all before the first segment that is another one
     first = F.aggregate(parts, F.lit(0), lambda n, x: F.when((n < 0) | ~lead(x), F.when(n < 0, n).otherwise(-n - 1)).otherwise(n + 1))
     skip = F.when(first < 0, -first - 1).otherwise(first)
+    skip = F.when(skip >= F.size(parts), 0).otherwise(skip)  # a path of nothing else keeps it all
     kept = F.slice(parts, skip + 1, F.greatest(F.size(parts), F.lit(1)))
     named = F.transform(kept, lambda x: F.when(x.startswith("{"), F.concat(F.lit("By"), pascal(x))).otherwise(pascal(x)))
     return F.concat(F.lower(method), F.array_join(named, ""))
+
+
+def common_prefix(rows: DataFrame, keys: list[str], path: str = "path") -> DataFrame:
+    """(*keys, prefix): the longest run of plain segments that all paths of a key but the root begin with."""
+    parts = rows.select(*keys, segments(F.col(path)).alias("_parts")).where(F.size("_parts") > 0)
+    total = rows.select(*keys).distinct().join(parts.groupBy(*keys).agg(F.count("*").alias("_n")), keys, "left")
+    each = parts.select(*keys, F.posexplode("_parts").alias("_at", "_part")).groupBy(*keys, "_at").agg(F.min("_part").alias("_part"), F.max("_part").alias("_top"), F.count("*").alias("_m"))
+    each = each.join(total, keys).withColumn("_same", ((F.col("_part") == F.col("_top")) & (F.col("_m") == F.col("_n")) & ~F.startswith("_part", F.lit("{"))).cast("int"))
+    kept = each.withColumn("_ok", F.min("_same").over(Window.partitionBy(*keys).orderBy("_at"))).where("_ok = 1")
+    kept = kept.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", "_part"))).alias("_p"))
+    return total.join(kept, keys, "left").select(*keys, F.coalesce(F.concat(F.lit("/"), F.array_join("_p._part", "/")), F.lit("")).alias("prefix"))

@@ -5,21 +5,22 @@ Inheritance, calls, dependencies and references between schemas are edge tables,
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import http, paths
 from ..operators import relational
 from ..operators.schemas import REF
 from ..operators.storage import cut
 
-#: Levels of calls below a route in which exceptions count, of dependencies, of inheritance, and of references.
-CALLS, DEPENDENCIES, BASES, NESTED = 4, 2, 8, 16
+#: Levels of calls below a route in which exceptions count, and of dependencies. Inheritance and references are followed to their ends.
+CALLS, DEPENDENCIES = 4, 2
 _TARGET = "struct<module:string,name:string>"
 _CLASS = f"name string, type string, bases array<{_TARGET}>, fields array<struct<name:string,schema:string,required:boolean,position:int>>, whole string, description string"
 _FUNCTION = f"name string, raises array<struct<status:int,module:string,name:string,detail:string,line:int>>, calls array<{_TARGET}>, depends array<{_TARGET}>, returns string, inputs array<struct<name:string,schema:string>>"
 _REFERENCE = r'"\$ref": ?"' + REF + r'([^"]+)"'
-# Names of the statuses that routes answer with most.
-PHRASES = {"200": "OK", "201": "Created", "202": "Accepted", "204": "No Content", "307": "Temporary Redirect", "400": "Bad Request", "401": "Unauthorized", "403": "Forbidden", "404": "Not Found", "409": "Conflict", "422": "Validation Error", "500": "Internal Server Error", "503": "Service Unavailable"}
 
 
 def _of(facts: DataFrame, kind: str, schema: str) -> DataFrame:
@@ -29,13 +30,13 @@ def _of(facts: DataFrame, kind: str, schema: str) -> DataFrame:
 def resolved(refs: DataFrame, definitions: DataFrame, facts: DataFrame) -> DataFrame:
     """(repo_id, path, module, name, key): the definition (repo_id, path, module, name), as its path:name, that a reference (repo_id, path, module, name) means.
 
-    A module is named from any directory above its package; of several, the one that shares most leading directories with the file that refers to it, then the smallest path. Names that modules pass on from others count, up to three times.
+    A module is named from any directory above its package; of several, the one that shares most leading directories with the file that refers to it, then the smallest path. Names that modules pass on from others count, however often they are passed on.
     """
     alias = _of(facts, "alias", "name string, target_module string, target string").select("repo_id", F.col("module").alias("a_module"), F.col("name").alias("a_name"), "target_module", "target").distinct()
     alias = cut(alias)
     wanted = cut(refs.select("repo_id", "path", "module", "name").distinct())
     last = seen = cut(_suffixes(definitions.select("repo_id", "module", "name", F.col("path").alias("r_path"), F.col("name").alias("r_name"))).distinct())
-    for _ in range(3):
+    while True:
         passed = alias.join(last.select("repo_id", F.col("module").alias("target_module"), F.col("name").alias("target"), "r_path", "r_name"), ["repo_id", "target_module", "target"])
         more = _suffixes(passed.select("repo_id", F.col("a_module").alias("module"), F.col("a_name").alias("name"), "r_path", "r_name"))
         last = cut(more.distinct().join(seen, seen.columns, "left_anti"))
@@ -53,11 +54,11 @@ def _suffixes(rows: DataFrame) -> DataFrame:
     return rows.withColumn("module", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))))
 
 
-def _closure(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """(repo_id, root, node, depth): nodes within depth steps of each start(repo_id, root) along edges(repo_id, a, b), with the fewest steps."""
+def _closure(edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
+    """(repo_id, root, node, depth): nodes within depth steps (at any distance where it is None) of each start(repo_id, root) along edges(repo_id, a, b), with the fewest steps."""
     last = found = cut(start.select("repo_id", "root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct())
     edges = cut(edges.select("repo_id", F.col("a").alias("node"), "b"))
-    for k in range(1, depth + 1):
+    for k in itertools.count(1) if depth is None else range(1, depth + 1):
         step = last.join(edges, ["repo_id", "node"]).select("repo_id", "root", F.col("b").alias("node"))
         last = cut(step.distinct().join(found, ["repo_id", "root", "node"], "left_anti").withColumn("depth", F.lit(k)))
         if last.isEmpty():
@@ -77,7 +78,7 @@ def schemas(facts: DataFrame) -> DataFrame:
     classes = _of(facts, "class", _CLASS).withColumn("key", F.concat_ws(":", "path", "name"))
     classes = cut(relational.keep_first(classes, ["repo_id", "key"], [F.desc("line")]))
     edges = _edges(classes, "bases", classes, facts)
-    up = _closure(edges, classes.select("repo_id", F.col("key").alias("root")), BASES)
+    up = _closure(edges, classes.select("repo_id", F.col("key").alias("root")))
     own = classes.select("repo_id", F.col("key").alias("node"), "path", "type", "fields", "whole")
     lines = up.join(own, ["repo_id", "node"])
     kind = lines.groupBy("repo_id", "root").agg(F.min_by("type", F.when(F.col("type").isNotNull(), F.col("depth"))).alias("type"))
@@ -160,6 +161,31 @@ def component_names(schemas: DataFrame) -> DataFrame:
     return schemas.withColumn("name", F.when(n == 1, safe).otherwise(F.concat_ws("_", safe, F.substring(F.sha2("schema_id", 256), 1, 8))))
 
 
+# Answers that most operations have, with what asks for them.
+USUAL = {"401": "secured", "403": "secured", "404": "templated", "500": "any"}
+
+
+def usual_answers(rows: DataFrame, secured: DataFrame) -> DataFrame:
+    """Answers that operations have by convention: those of signed-in users where there is security, 404 where the path has parameters, 500 anywhere."""
+    key = ["repo_id", "service", "path", "method"]
+    marked = rows.select(*key).join(secured.select(*key).distinct().withColumn("_s", F.lit(True)), key, "left")
+    holds = {"secured": F.col("_s").isNotNull(), "templated": F.col("path").contains("{"), "any": F.lit(True)}
+    found = F.filter(F.array(*[F.when(holds[when], F.lit(status)) for status, when in USUAL.items()]), lambda x: x.isNotNull())
+    return marked.select(*key, F.explode(found).alias("status"), F.lit(None).cast("string").alias("response"), F.lit(None).cast("string").alias("detail"))
+
+
+def _servers(operations: DataFrame, servers: list[dict]) -> DataFrame:
+    """(repo_id, service, servers JSON): the given servers, without a path that all paths of the service begin with."""
+    common = paths.common_prefix(operations.where("NOT duplicate"), ["repo_id", "service"])
+    parts = []
+    for s in servers:
+        at = paths.url_path(F.lit(s["url"]))
+        short = F.when(http.server_matches(at, F.col("prefix")), F.expr("substring(u, 1, length(u) - length(a))")).otherwise(F.col("u"))
+        common = common.withColumns({"u": F.lit(s["url"]), "a": at}).withColumn(f"s{len(parts)}", F.when(short == "", "/").otherwise(short))
+        parts.append(F.struct(F.lit(s.get("description")).cast("string").alias("description"), F.col(f"s{len(parts)}").alias("url")))
+    return common.select("repo_id", "service", F.to_json(F.array(*parts)).alias("servers") if parts else F.lit(None).cast("string").alias("servers"))
+
+
 def _object(entries: list[tuple[str, Column]]) -> Column:
     """A JSON object of the entries that are not null."""
     parts = F.array(*[F.concat(F.lit(f'"{k}":'), v) for k, v in entries])
@@ -171,19 +197,41 @@ def _quoted(text: Column) -> Column:
     return F.regexp_extract(F.to_json(F.struct(text.alias("t"))), r'(?s)^\{"t":(.*)\}$', 1)
 
 
+def parts(operations: DataFrame, facts: DataFrame) -> dict[str, DataFrame]:
+    """The schemas, bodies, errors and security of Python operations, in the form that assemble() takes."""
+    return {"schemas": schemas(facts), "bodies": bodies(operations, facts), "errors": errors(operations, facts).select("repo_id", "service", "path", "method", "status", "detail", F.lit(None).cast("string").alias("response")), "security": security(operations, facts)}
+
+
+def joined_parts(*every: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The parts of several languages as one."""
+    out = dict(every[0])
+    for more in every[1:]:
+        out = {k: out[k].unionByName(more[k]) for k in out}
+    return out
+
+
 def documents(operations: DataFrame, facts: DataFrame) -> DataFrame:
-    """(repo_id, service, document): one OpenAPI 3.1 document a service, with the component schemas that its operations reach."""
+    """(repo_id, service, document): one OpenAPI 3.1 document a service of Python operations."""
+    return assemble(operations, parts(operations, facts))
+
+
+def assemble(operations: DataFrame, parts: dict[str, DataFrame], conventional: bool = False, servers: list[dict] | None = None, internal: list[str] | None = None) -> DataFrame:
+    """(repo_id, service, document): one OpenAPI 3.1 document a service, with the component schemas that its operations reach.
+
+    conventional adds responses that most operations have, where they state none of their status; servers (url, description) come without the path that all operations share; operations below internal paths are left out.
+    """
     key = ["repo_id", "service", "path", "method"]
-    operations = cut(operations)
-    own = cut(component_names(schemas(facts)))
-    phrases = F.create_map(*[F.lit(x) for pair in PHRASES.items() for x in pair])
-    rows = operations.where("NOT duplicate").join(bodies(operations, facts), key, "left")
+    operations = cut(operations.where(~paths.is_internal(F.col("path"), internal or [])))
+    own = cut(component_names(parts["schemas"]))
+    rows = operations.where("NOT duplicate").join(parts["bodies"], key, "left")
     declared = rows.select(*key, F.explode("statuses").alias("status"), "response").withColumn("response", F.when((F.col("status") < "300") & (F.col("status") != "204") & ~F.col("response").isin("{}", '{"type": "null"}'), F.col("response"))).withColumn("detail", F.lit(None).cast("string"))
-    answers = declared.unionByName(errors(operations, facts).select(*key, "status", F.lit(None).cast("string").alias("response"), "detail"))
+    secured = cut(parts["security"])
+    answers = declared.unionByName(parts["errors"].select(*key, "status", "response", "detail").join(operations.where("NOT duplicate").select(*key), key, "left_semi"))
+    if conventional:
+        answers = answers.unionByName(usual_answers(rows, secured))
     answers = relational.keep_first(answers, [*key, "status"], [F.col("detail").isNull(), F.col("response").isNull()])
-    one = F.concat(_quoted(F.col("status")), F.lit(":"), _object([("content", F.concat(F.lit('{"application/json":{"schema":'), "response", F.lit("}}"))), ("description", _quoted(F.coalesce("detail", phrases[F.col("status")], F.lit("Response"))))]))
-    answers = answers.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("status", one.alias("o")))), lambda x: x["o"]), ",").alias("answers"))
-    secured = cut(security(operations, facts))
+    one = F.concat(_quoted(F.col("status")), F.lit(":"), _object([("content", F.concat(F.lit('{"application/json":{"schema":'), "response", F.lit("}}"))), ("description", _quoted(F.coalesce("detail", http.status_phrase(F.col("status")))))]))
+    answers = answers.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(http.status_rank(F.col("status")).alias("r"), "status", one.alias("o")))), lambda x: x["o"]), ",").alias("answers"))
     asked = secured.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("{"), _quoted(F.col("scheme_name")), F.lit(":[]}")))), ",").alias("asked"))
     rows = rows.join(answers, key, "left").join(asked, key, "left")
     outside = F.filter("parameters", lambda p: ~p["location"].isin("body", "form", "file"))
@@ -192,6 +240,7 @@ def documents(operations: DataFrame, facts: DataFrame) -> DataFrame:
     media = F.when(F.exists(inside, lambda p: p["location"] == "file"), "multipart/form-data").when(F.exists(inside, lambda p: p["location"] == "form"), "application/x-www-form-urlencoded").otherwise("application/json")
     body = F.when(F.size(inside) > 0, F.concat(F.lit('{"content":{"'), media, F.lit('":{"schema":'), F.coalesce("request", F.lit('{"type":"object"}')), F.lit('}},"required":'), F.exists(inside, lambda p: p["required"]).cast("string"), F.lit("}")))
     operation = _object([("operationId", _quoted(F.col("operation_id"))), ("parameters", parameters), ("requestBody", body), ("responses", F.concat(F.lit("{"), "answers", F.lit("}"))), ("security", F.when(F.col("asked").isNotNull(), F.concat(F.lit("["), "asked", F.lit("]")))), ("summary", F.when(F.col("summary").isNotNull(), _quoted(F.col("summary")))), ("tags", F.when(F.size("tags") > 0, F.to_json(F.array_sort("tags"))))])
+    rows_tags = rows.groupBy("repo_id", "service").agg(F.to_json(F.transform(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))), lambda t: F.struct(t.alias("name")))).alias("all_tags"))
     rows = cut(rows.select(*key, operation.alias("operation")))
     joined = lambda k, v: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), v.alias("v")))), lambda x: F.concat(_quoted(x["k"]), F.lit(":"), x["v"])), ",")
     items = rows.groupBy("repo_id", "service", "path").agg(F.concat(F.lit("{"), joined(F.col("method"), F.col("operation")), F.lit("}")).alias("item"), F.concat_ws(" ", F.collect_list("operation")).alias("all"))
@@ -199,11 +248,13 @@ def documents(operations: DataFrame, facts: DataFrame) -> DataFrame:
     # component schemas: what operations refer to, and what those refer to
     links = own.select("repo_id", F.col("schema_id").alias("a"), F.explode(F.array_distinct(F.regexp_extract_all("schema", F.lit(_REFERENCE), F.lit(1)))).alias("b"))
     first = whole.select("repo_id", "service", F.explode(F.array_distinct(F.regexp_extract_all("all", F.lit(_REFERENCE), F.lit(1)))).alias("root"))
-    used = first.join(_closure(links, first, NESTED), ["repo_id", "root"]).select("repo_id", "service", F.col("node").alias("schema_id")).distinct().join(own, ["repo_id", "schema_id"])
+    used = first.join(_closure(links, first), ["repo_id", "root"]).select("repo_id", "service", F.col("node").alias("schema_id")).distinct().join(own, ["repo_id", "schema_id"])
     parts = used.groupBy("repo_id", "service").agg(joined(F.col("name"), F.col("schema")).alias("components"), F.map_from_entries(F.collect_set(F.struct("schema_id", "name"))).alias("names"))
     declared = secured.select("repo_id", "service", "scheme_name", "scheme").distinct().groupBy("repo_id", "service").agg(joined(F.col("scheme_name"), F.col("scheme")).alias("schemes"))
     whole = whole.join(parts, ["repo_id", "service"], "left").join(declared, ["repo_id", "service"], "left")
     within = F.when(F.col("components").isNotNull() | F.col("schemes").isNotNull(), _object([("schemas", F.concat(F.lit("{"), "components", F.lit("}"))), ("securitySchemes", F.concat(F.lit("{"), "schemes", F.lit("}")))]))
-    document = _object([("components", within), ("info", F.concat(F.lit('{"title":'), _quoted(F.col("service")), F.lit(',"version":"0.1.0"}'))), ("openapi", F.lit('"3.1.0"')), ("paths", F.concat(F.lit("{"), "paths", F.lit("}")))])
+    tagged = rows_tags.join(whole.select("repo_id", "service"), ["repo_id", "service"], "right")
+    whole = whole.join(tagged, ["repo_id", "service"]).join(_servers(operations, servers or []), ["repo_id", "service"], "left")
+    document = _object([("components", within), ("info", F.concat(F.lit('{"title":'), _quoted(F.col("service")), F.lit(',"version":"0.1.0"}'))), ("openapi", F.lit('"3.1.0"')), ("paths", F.concat(F.lit("{"), "paths", F.lit("}"))), ("servers", F.col("servers")), ("tags", F.when(F.col("all_tags") != "[]", F.col("all_tags")))])
     pointed = F.aggregate(F.coalesce(F.map_entries("names"), F.array().cast("array<struct<key:string,value:string>>")), document, lambda s, e: F.replace(s, F.concat(F.lit(f'"{REF}'), e["key"], F.lit('"')), F.concat(F.lit('"#/components/schemas/'), e["value"], F.lit('"'))))
     return whole.select("repo_id", "service", pointed.alias("document"))

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..operators.storage import cut
 
-DEPTH = 16
 _ACTION = "struct<action:string,method:string,detail:boolean,extra:string>"
 
 
@@ -26,10 +26,12 @@ def mounts(facts: DataFrame) -> DataFrame:
     now = _of(facts, "settings", "root string").select("repo_id", F.element_at(F.split("root", "\\."), 1).alias("service"), F.col("root").alias("module"), F.lit("").alias("prefix"), F.array("root").alias("seen"))
     includes = _of(facts, "url_include", "route string, regex boolean, target string, router string").where("router IS NULL")
     includes = includes.select(F.col("repo_id").alias("i_repo"), F.col("module").alias("i_module"), "target", _route(F.col("route"), F.col("regex")).alias("i_prefix"))
-    found = now
-    for _ in range(DEPTH):
+    includes = cut(includes)
+    found = now = cut(now)
+    while True:
         step = now.join(includes, (F.col("repo_id") == F.col("i_repo")) & (F.col("module") == F.col("i_module"))).where(~F.array_contains("seen", F.col("target")))
         now = step.select("repo_id", "service", F.col("target").alias("module"), F.concat("prefix", "i_prefix").alias("prefix"), F.concat("seen", F.array("target")).alias("seen"))
+        now = cut(now)
         if now.isEmpty():
             break
         found = found.unionByName(now)

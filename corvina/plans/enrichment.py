@@ -9,31 +9,49 @@ from ..functions import paths
 
 SEPARATOR = "\x1f"
 # Verbs of methods.
-VERBS = {"get": "Get", "post": "Create", "put": "Update", "patch": "Update", "delete": "Delete", "head": "Check", "options": "Describe"}
+VERBS = {"get": "Get", "post": "Create", "put": "Update", "patch": "Update", "delete": "Delete", "head": "Check", "options": "Get options for"}
+# Names of functions that say nothing about what they do.
+GENERIC = ["get", "post", "put", "delete", "patch", "handle", "index", "list", "apply", "call", "execute"]
+# Leading segments that are no resource; what claims that users must sign in; what looks like a path.
+BASE = "(?i)^(?:api|v[0-9]+|internal|actuator)$"
+CLAIM = r"(?i)\b(requires? (?:an? )?(?:api key|bearer|oauth|authentication|authorization)|must be authenticated)\b"
+PATHLIKE = r"(?<![\w.])(/[A-Za-z0-9_{}\-./]{2,})"
 
 
 def words(name: Column) -> Column:
     """The lower-case words of a camel-, snake- or kebab-case name."""
-    apart = F.regexp_replace(name, r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ")
-    return F.filter(F.split(F.lower(apart), r"[^a-z0-9]+"), lambda x: x != "")
+    # fixed values: where a name's words begin
+    apart = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r"[_\-]+", " "), r"(?<=[a-z0-9])(?=[A-Z])", " "), r"(?<=[A-Z])(?=[A-Z][a-z])", " ")
+    return F.filter(F.split(F.lower(apart), r"\s+"), lambda x: x != "")
+
+
+def _sentence(text: Column) -> Column:
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(text.substr(F.lit(2), F.length(text))))
 
 
 def summary(method: Column, path: Column, function: Column) -> Column:
-    """The words of a function's name, or of several ones a sentence; else a verb and the last plain segment."""
-    own = words(function)
-    text = F.array_join(own, " ")
+    """The words of a function's name as a sentence, unless it says nothing; else a verb and the last plain segment."""
+    own = words(F.element_at(F.split(F.coalesce(function, F.lit("")), "\\."), -1))
+    told = F.coalesce(~F.get(own, 0).isin(GENERIC), F.lit(False))
     plain = F.filter(paths.segments(path), lambda x: ~x.startswith("{"))
-    last = F.regexp_replace(F.coalesce(F.try_element_at(plain, F.lit(-1)), F.lit("root")), "[-_]+", " ")
+    last = F.try_element_at(plain, F.lit(-1))
+    resource = F.when(last.isNotNull(), F.array_join(words(last), " ")).otherwise("resource")
     verbs = F.create_map(*[F.lit(x) for pair in VERBS.items() for x in pair])
-    verb = F.when((F.lower(method) == "get") & ~path.endswith("}"), "List").otherwise(F.coalesce(verbs[F.lower(method)], F.initcap(method)))
-    return F.when(F.size(own) > 1, F.concat(F.upper(F.substring(text, 1, 1)), text.substr(F.lit(2), F.length(text)))).otherwise(F.concat_ws(" ", verb, last))
+    listed = (F.lower(method) == "get") & ~F.regexp_replace(path, "/+$", "").endswith("}") & last.isNotNull()
+    verb = F.when(listed, "List").otherwise(F.coalesce(F.try_element_at(verbs, F.lower(method)), F.upper(method)))
+    return F.when(told, _sentence(F.array_join(own, " "))).otherwise(F.trim(F.concat_ws(" ", verb, resource)))
 
 
 def overviews(operations: DataFrame) -> DataFrame:
-    """(repo_id, service, overview): the distinct resources of a service, sorted."""
-    plain = F.filter(paths.segments(F.col("path")), lambda x: ~x.startswith("{") & ~F.lower(x).rlike("^(api|v[0-9]+)$"))
-    rows = operations.where("NOT duplicate").select("repo_id", "service", F.get(plain, 0).alias("resource"))
-    return rows.groupBy("repo_id", "service").agg(F.array_join(F.array_sort(F.collect_set("resource")), ", ").alias("r")).select("repo_id", "service", F.when(F.col("r") != "", F.concat(F.lit("Operations on "), "r", F.lit("."))).alias("overview"))
+    """(repo_id, service, overview): a sentence on the service and its distinct resources, sorted."""
+    plain = F.filter(paths.segments(F.col("path")), lambda x: ~x.startswith("{"))
+    # the first segment that is no base; segments before it are bases all
+    first = F.get(F.filter(plain, lambda x: ~x.rlike(BASE)), 0)
+    rows = operations.where("NOT duplicate").select("repo_id", "service", F.translate(first, "-_", "  ").alias("resource"))
+    each = rows.groupBy("repo_id", "service").agg(F.array_join(F.array_sort(F.collect_set("resource")), ", ").alias("r"))
+    name = F.trim(F.translate("service", "-_", "  "))
+    text = F.concat(F.lit("API for the "), name, F.lit("."), F.when(F.col("r") != "", F.concat(F.lit(" Provides operations over: "), "r", F.lit("."))).otherwise(""))
+    return each.select("repo_id", "service", F.when(name != "", text).alias("overview"))
 
 
 def vocabulary(operations: DataFrame) -> DataFrame:
@@ -54,9 +72,9 @@ def grounded(texts: DataFrame, operations: DataFrame, secured: DataFrame) -> Dat
     blob = F.concat_ws(" ", "summary", "description", F.array_join(F.map_values("responses"), " "), F.array_join(F.map_values("parameters"), " "))
     none = F.array().cast("array<string>")
     numbers = F.array_except(F.regexp_extract_all(blob, F.lit(r"\b([1-5]\d{2})\b"), F.lit(1)), F.col("_statuses"))
-    pathlike = F.filter(F.regexp_extract_all(blob, F.lit(r"(?:^|\s)(/[A-Za-z0-9_{}/.-]+)"), F.lit(1)), lambda x: ~F.contains(F.col("path"), F.rtrim(x, F.lit("./"))))
+    pathlike = F.filter(F.regexp_extract_all(blob, F.lit(PATHLIKE), F.lit(1)), lambda x: ~F.contains(F.col("path"), F.rtrim(x, F.lit("./"))))
     known = lambda t: F.array_contains("_words", t) | F.array_contains("_words", F.rtrim(t, F.lit("s"))) | F.array_contains("_words", F.concat(t, F.lit("s")))
-    claims = F.lower(blob).rlike(r"\b(authenticat\w*|authoriz\w*|bearer|api key|oauth2?|logged[ -]in)\b")
+    claims = blob.rlike(CLAIM)
     reason = (
         F.when(F.size(F.array_except(F.coalesce(F.map_keys("responses"), none), "_statuses")) > 0, "status not declared")
         .when(F.size(F.array_except(F.coalesce(F.map_keys("parameters"), none), "_names")) > 0, "parameter not declared")

@@ -36,18 +36,18 @@ def score(rows: DataFrame) -> Column:
     return F.when(c("failures") > 0, total * F.greatest(F.lit(0.85), 1 - 0.02 * c("failures"))).otherwise(total)
 
 
-def issues() -> Column:
+def issues(least: dict[str, float] | None = None, most_unresolved: int = MOST_UNRESOLVED) -> Column:
     """What keeps a service from production, as an array of texts."""
-    found = [F.when(F.col("unresolved") > MOST_UNRESOLVED, F.concat(F.col("unresolved").cast("string"), F.lit(" unresolved")))]
-    found += [F.when(F.col(name) < least, F.lit(f"{name.replace('_', ' ')} below {least}")) for name, least in LEAST.items()]
+    found = [F.when(F.col("unresolved") > most_unresolved, F.concat(F.col("unresolved").cast("string"), F.lit(" unresolved")))]
+    found += [F.when(F.col(name) < bound, F.lit(f"{name.replace('_', ' ')} below {bound}")) for name, bound in (least or LEAST).items()]
     found += [F.when(F.col("errors") > 0, F.lit("validation errors")), F.when(F.col("gates_passed") < F.col("gates"), F.lit("failed gates"))]
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
-def coverage(operations: DataFrame, gates: DataFrame, internal: list[str] | None = None) -> DataFrame:
+def coverage(operations: DataFrame, gates: DataFrame, internal: list[str] | None = None, errors: DataFrame | None = None, failures: DataFrame | None = None, unresolved: DataFrame | None = None) -> DataFrame:
     """rows for scored(): one a service, over its operations outside internal paths. A fact is high if the source states it, medium if a default stands in, low if nothing is known.
 
-    operations(repo_id, service, path, method, parameters, statuses, duplicate, request, response), gates(repo_id, service, gate, passed).
+    operations(repo_id, service, path, method, parameters, statuses, duplicate, request, response), gates(repo_id, service, gate, passed), errors(repo_id, service, message) of documents, failures(repo_id, service) of texts that were asked for, unresolved(repo_id, service) contracts, a row each; none where they are not given.
     """
     key = ["repo_id", "service"]
     rows = operations.where(~F.col("duplicate") & ~paths.is_internal(F.col("path"), internal or []))
@@ -63,18 +63,19 @@ def coverage(operations: DataFrame, gates: DataFrame, internal: list[str] | None
     ratio = text.safe_ratio
     each = each.withColumns({
         "response_completeness": ratio(F.col("_answered"), F.col("operations")), "request_completeness": ratio(F.col("_asked"), F.col("_bodies")), "parameter_completeness": ratio(F.col("_typed"), F.col("_parameters")),
-        "high": F.col("_answered") + F.col("_asked") + F.col("_typed"), "medium": F.col("operations") - F.col("_answered"), "low": F.col("_bodies") - F.col("_asked") + F.col("_parameters") - F.col("_typed"),
-        "errors": F.lit(0), "failures": F.lit(0), "unresolved": F.lit(0)})
+        "high": F.col("_answered") + F.col("_asked") + F.col("_typed"), "medium": F.col("operations") - F.col("_answered"), "low": F.col("_bodies") - F.col("_asked") + F.col("_parameters") - F.col("_typed")})
+    for name, found in (("errors", errors), ("failures", failures), ("unresolved", unresolved)):
+        each = each.withColumn(name, F.lit(0).cast("long")) if found is None else each.join(found.groupBy(*key).agg(F.count("*").alias(name)), key, "left").fillna(0, [name])
     passed = gates.groupBy(*key).agg(F.count("*").alias("gates"), F.count_if("passed").alias("gates_passed"))
     return each.drop("_answered", "_bodies", "_asked", "_parameters", "_typed").join(passed, key, "left").fillna(0, ["gates", "gates_passed"])
 
 
-def scored(rows: DataFrame) -> DataFrame:
+def scored(rows: DataFrame, least: dict[str, float] | None = None, most_unresolved: int = MOST_UNRESOLVED) -> DataFrame:
     """rows with readiness (0 to 100, one decimal), issues and production_ready."""
-    out = rows.withColumn("readiness", F.round(100 * score(rows), 1)).withColumn("issues", issues())
+    out = rows.withColumn("readiness", F.round(100 * score(rows), 1)).withColumn("issues", issues(least, most_unresolved))
     return out.withColumn("production_ready", F.size("issues") == 0)
 
 
 def overall(scored: DataFrame) -> DataFrame:
     """One row: the mean readiness, and whether every service is ready."""
-    return scored.agg(F.round(F.avg("readiness"), 1).alias("readiness"), F.bool_and("production_ready").alias("production_ready"), F.count("*").alias("services"))
+    return scored.agg(F.round(F.avg("readiness"), 1).alias("readiness"), F.bool_and("production_ready").alias("production_ready"), F.count("*").alias("services"), *([F.bool_and(F.col("gates_passed") == F.col("gates")).alias("strict_ok")] if "gates" in scored.columns else []))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import relational
+from ..operators.storage import cut
 
-DEPTH = 16
 _ROUTER = "framework string, role string, name string, prefix string, title string, tags array<string>"
 _INCLUDE = "owner_module string, owner string, target_module string, target string, prefix string, tags array<string>"
 _PARAMETER = "struct<name:string,location:string,required:boolean,type:string,ref:string>"
@@ -40,15 +40,16 @@ def mounts(facts: DataFrame) -> DataFrame:
     includes = _of(facts, "include", _INCLUDE).withColumnRenamed("prefix", "i_prefix").withColumnRenamed("tags", "i_tags")
     includes = _resolved(_resolved(includes, routers, "owner_module", "owner", "owner_key"), routers, "target_module", "target", "target_key").select("repo_id", "owner_key", "target_key", "i_prefix", "i_tags")
     own = routers.select("repo_id", key.alias("target_key"), F.col("prefix").alias("own_prefix"), F.col("tags").alias("own_tags"))
-    edges = includes.join(own, ["repo_id", "target_key"]).withColumnRenamed("repo_id", "e_repo")
+    edges = cut(includes.join(own, ["repo_id", "target_key"]).withColumnRenamed("repo_id", "e_repo"))
     now = routers.where("role = 'app'").select("repo_id", key.alias("service"), "framework", key.alias("router"), F.lit("").alias("prefix"), "tags", F.array(key).alias("seen"))
-    found = now
-    for _ in range(DEPTH):
+    found = now = cut(now)
+    while True:
         # a router is not mounted below itself
         step = now.join(edges, (F.col("repo_id") == F.col("e_repo")) & (F.col("router") == F.col("owner_key"))).where(~F.array_contains("seen", F.col("target_key")))
         # a prefix given at the inclusion replaces a blueprint's own one; routers add theirs
         prefix = F.when(F.col("framework") == "flask", F.concat("prefix", F.when(F.col("i_prefix") != "", F.col("i_prefix")).otherwise(F.col("own_prefix")))).otherwise(F.concat("prefix", "i_prefix", "own_prefix"))
         now = step.select("repo_id", "service", "framework", F.col("target_key").alias("router"), prefix.alias("prefix"), F.array_distinct(F.concat("tags", "i_tags", "own_tags")).alias("tags"), F.concat("seen", F.array("target_key")).alias("seen"))
+        now = cut(now)
         if now.isEmpty():
             break
         found = found.unionByName(now)

@@ -83,15 +83,8 @@ def path_template(spark, sf_dir):
   b AS (SELECT *, min(CASE WHEN same THEN 1 ELSE 0 END) OVER (PARTITION BY host ORDER BY pos) AS ok FROM a)
   SELECT t.host, coalesce('/' || string_agg(part, '/' ORDER BY pos) FILTER (ok = 1), '') AS prefix FROM t LEFT JOIN b ON t.host = b.host GROUP BY t.host""")
 def common_prefix(spark, sf_dir):
-    pages = _read(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^/]*)", 1).alias("host"), paths.segments(paths.url_path(F.col("url"))).alias("parts"))
-    total = pages.groupBy("host").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
-    each = pages.select("host", F.posexplode("parts").alias("pos", "part")).groupBy("host", "pos").agg(F.min("part").alias("part"), F.max("part").alias("top"), F.count("*").alias("m"))
-    each = each.join(total, "host").withColumn("same", ((F.col("part") == F.col("top")) & (F.col("m") == F.col("n"))).cast("int"))
-    ok = F.min("same").over(Window.partitionBy("host").orderBy("pos"))
-    kept = each.withColumn("ok", ok).where("ok = 1").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("pos", "part"))).alias("p"))
-    return total.select("host").join(kept, "host", "left").select("host", F.coalesce(F.concat(F.lit("/"), F.array_join("p.part", "/")), F.lit("")).alias("prefix"))
+    pages = _read(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^/]*)", 1).alias("host"), paths.url_path(F.col("url")).alias("path"))
+    return paths.common_prefix(pages, ["host"])
 
 
 @_query(f"""WITH s AS (SELECT page_id, 'get' || array_to_string(list_transform({_SEGMENTS}, lambda x:

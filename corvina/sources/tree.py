@@ -7,14 +7,20 @@ import json
 import tomllib
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrow import arrow_function
+from ..functions.yaml_text import load
+
 #: Bytes of a file that signals are looked for in.
 SIGNAL_BYTES = 262_144
 # Directories that hold no sources of a service.
-EXCLUDED = [".git", ".hg", ".svn", ".venv", "venv", "env", "node_modules", "target", "build", "dist", "out", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".gradle", ".idea", ".vscode", "site-packages", "generated", "vendor", "vendored", "third_party", "migrations"]
-TEST_ROOTS = ["test", "tests", "testing"]
+EXCLUDED = [".git", ".hg", ".svn", ".venv", "venv", "env", "node_modules", "target", "build", "dist", "out", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".gradle", ".idea", ".vscode", "site-packages", "generated", "vendor", "vendored", "third_party"]
+MIGRATIONS = "migrations"
+# Directories of tests, anywhere, and right below a directory of sources.
+TESTS, SOURCE_TESTS = ["tests", "testing"], ["test", "it", "integration-test", "integrationTest"]
 LIBRARY = "struct<groupId:string,artifactId:string,version:string>"
 LIBRARIES = f"array<{LIBRARY}>"
 POM = f"artifactId string, packaging string, parent {LIBRARY}, modules struct<module:array<string>>, dependencies struct<dependency:{LIBRARIES}>"
@@ -22,7 +28,7 @@ FILES = "repo_id string, path string, length bigint, content binary"
 MANIFESTS = {"pyproject.toml": "pyproject", "requirements.txt": "requirements", "setup.cfg": "setup_cfg", "pom.xml": "pom", "build.gradle": "gradle", "build.gradle.kts": "gradle", "settings.gradle": "gradle_settings", "settings.gradle.kts": "gradle_settings", "docker-compose.yml": "compose", "docker-compose.yaml": "compose", "compose.yml": "compose", "compose.yaml": "compose", "Dockerfile": "dockerfile"}
 
 
-def files(spark: SparkSession, root: str, repo_id: str | None = None, excluded: list[str] | None = None) -> DataFrame:
+def files(spark: SparkSession, root: str, repo_id: str | None = None, excluded: list[str] | None = None, migrations: bool = False) -> DataFrame:
     """(repo_id, path, length, content) of the files below root; with no repo_id given, each directory right below root is a repository."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = F.regexp_replace(F.lit(root.rstrip("/")), "^file:/*", "/")
@@ -32,19 +38,26 @@ def files(spark: SparkSession, root: str, repo_id: str | None = None, excluded:
         out = out.withColumns({"repo_id": F.element_at(F.split("path", "/"), 1), "path": F.regexp_replace("path", "^[^/]*/", "")})
     else:
         out = out.withColumn("repo_id", F.lit(repo_id))
-    return kept(out.select("repo_id", normal_path(F.col("path")).alias("path"), "length", "content"), excluded)
+    return kept(out.select("repo_id", normal_path(F.col("path")).alias("path"), "length", "content"), excluded, migrations)
+
+
+@arrow_function("string")
+def _composed(path: pa.Array) -> pa.Array:
+    return pc.utf8_normalize(path, "NFC")
 
 
 def normal_path(path: Column) -> Column:
-    return F.regexp_replace(F.translate(path, "\\", "/"), "^(\\./)+", "")
+    """A path with slashes, composed characters and no ./ before it."""
+    return F.regexp_replace(F.translate(_composed(path), "\\", "/"), "^(\\./)+", "")
 
 
-def kept(files: DataFrame, excluded: list[str] | None = None) -> DataFrame:
-    """Files outside excluded, hidden and test directories."""
+def kept(files: DataFrame, excluded: list[str] | None = None, migrations: bool = False) -> DataFrame:
+    """Files outside excluded, hidden and test directories; migrations only on demand."""
     dirs = F.split("path", "/")
     above = F.slice(dirs, 1, F.size(dirs) - 1)
-    out = F.array(*map(F.lit, [*EXCLUDED, *(excluded or [])]))
-    return files.where(~F.arrays_overlap(above, out) & ~F.exists(above, lambda d: d.startswith(".")) & ~F.coalesce(F.element_at(dirs, 1).isin(TEST_ROOTS) & (F.size(dirs) > 1), F.lit(False)))
+    out = F.array(*map(F.lit, [*EXCLUDED, *TESTS, *([] if migrations else [MIGRATIONS]), *(excluded or [])]))
+    below_source = F.exists(F.zip_with(above, F.slice(above, 2, F.greatest(F.size(above), F.lit(1))), lambda a, b: (a == "src") & b.isin(SOURCE_TESTS)), lambda x: F.coalesce(x, F.lit(False)))
+    return files.where(~F.arrays_overlap(above, out) & ~F.exists(above, lambda d: d.startswith(".")) & ~below_source)
 
 
 def text(content: Column, most: int = SIGNAL_BYTES) -> Column:
@@ -66,7 +79,10 @@ def _requirement(line: str) -> tuple[str, str] | None:
     if not line or line.startswith("-"):
         return None
     at = next((i for i, c in enumerate(line) if not (c.isalnum() or c in "._-")), len(line))
-    return (line[:at].lower().replace("_", "-"), line[at:].split(";")[0].strip()) if at else None
+    rest = line[at:].strip()
+    if rest.startswith("["):  # extras are no part of the version
+        rest = rest.partition("]")[2].strip()
+    return (line[:at].lower().replace("_", "-"), rest) if at and (not rest or rest[0] in "=<>!~;") else None
 
 
 def _declared(kind: str, raw: str) -> tuple[str | None, dict[str, str]]:
@@ -79,7 +95,8 @@ def _declared(kind: str, raw: str) -> tuple[str | None, dict[str, str]]:
         project, poetry = doc.get("project", {}), doc.get("tool", {}).get("poetry", {})
         deps = dict(filter(None, map(_requirement, project.get("dependencies", []))))
         for k, v in poetry.get("dependencies", {}).items():
-            deps[k.lower().replace("_", "-")] = v if isinstance(v, str) else str(v.get("version", "")) if isinstance(v, dict) else ""
+            if k.lower() != "python":
+                deps[k.lower().replace("_", "-")] = v if isinstance(v, str) else ""
         return project.get("name") or poetry.get("name"), deps
     if kind == "requirements":
         return None, dict(filter(None, map(_requirement, raw.splitlines())))
@@ -103,9 +120,8 @@ def manifests(files: DataFrame) -> DataFrame:
     """(repo_id, path, kind, name, deps map<string,string>) of manifests, by their base names."""
     kinds = F.create_map(*[F.lit(x) for pair in MANIFESTS.items() for x in pair])
     rows = files.withColumn("kind", kinds[F.element_at(F.split("path", "/"), -1)]).where("kind IS NOT NULL")
-    rows = rows.select("repo_id", "path", "kind", text(F.col("content"), 1 << 24).alias("text"))
+    rows = rows.select("repo_id", "path", "kind", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     python = rows.where("kind IN ('pyproject', 'requirements', 'setup_cfg')").mapInArrow(_python_manifests, "repo_id string, path string, kind string, name string, deps string").withColumn("deps", F.from_json("deps", "map<string,string>"))
-    pairs = lambda a, b, v: F.map_from_entries(F.array_distinct(F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda x: F.struct(F.concat_ws(":", x["a"], x["b"]).alias("k"), F.lit(v).alias("v")))))
     # the XML reader leaves what it can't parse null
     pom = F.from_xml("text", POM)
     library = lambda d, lead: F.struct(F.concat(F.lit(lead), F.trim(d["groupId"]), F.lit(":"), F.trim(d["artifactId"])).alias("k"), F.coalesce(F.trim(d["version"]), F.lit("")).alias("v"))
@@ -113,22 +129,36 @@ def manifests(files: DataFrame) -> DataFrame:
     named = F.filter(named, lambda e: e["k"].isNotNull())
     last = F.filter(named, lambda e, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda x: x["k"] == e["k"]))
     maven = rows.where("kind = 'pom'").withColumn("p", pom).select("repo_id", "path", "kind", F.coalesce(F.trim("p.artifactId"), F.lit("")).alias("name"), F.map_from_entries(last).alias("deps"))
-    coordinate = r"(?:implementation|api|compileOnly|runtimeOnly|annotationProcessor|testImplementation)\s*\(?\s*[\"']([^:\"']+):([^:\"']+)"
-    gradle = rows.where("kind = 'gradle'").select("repo_id", "path", "kind", F.lit(None).cast("string").alias("name"), pairs(F.regexp_extract_all("text", F.lit(coordinate), F.lit(1)), F.regexp_extract_all("text", F.lit(coordinate), F.lit(2)), "").alias("deps"))
+    coordinate = r"(?:implementation|api|compile|runtimeOnly|compileOnly|testImplementation)\s*[\s(]*['\"]([A-Za-z0-9_.\-]+):([A-Za-z0-9_.\-]+)(?::([A-Za-z0-9_.\-]+))?['\"]"
+    group = lambda k: F.regexp_extract_all("text", F.lit(coordinate), F.lit(k)).alias(f"g{k}")
+    each = F.transform(F.arrays_zip(group(1), group(2), group(3)), lambda x: F.struct(F.concat_ws(":", x["g1"], x["g2"]).alias("k"), F.coalesce(x["g3"], F.lit("")).alias("v")))
+    latest = F.filter(each, lambda e, i: ~F.exists(F.slice(each, i + 2, F.size(each)), lambda x: x["k"] == e["k"]))
+    gradle = rows.where("kind = 'gradle'").select("repo_id", "path", "kind", F.lit(None).cast("string").alias("name"), F.map_from_entries(latest).alias("deps"))
     rest = rows.where("kind NOT IN ('pyproject', 'requirements', 'setup_cfg', 'pom', 'gradle')").select("repo_id", "path", "kind", F.lit(None).cast("string").alias("name"), F.lit(None).cast("map<string,string>").alias("deps"))
     return python.unionByName(maven).unionByName(gradle).unionByName(rest)
 
 
+@arrow_function("array<string>")
+def _builds(text: pa.Array) -> pa.Array:
+    """The directories that the services of compositions are built in."""
+    out = []
+    for t in text.to_pylist():
+        doc = load(t) if t else None
+        services = doc.get("services") if isinstance(doc, dict) else None
+        builds = [s.get("build") for s in services.values() if isinstance(s, dict)] if isinstance(services, dict) else []
+        out.append([str(b["context"]) if isinstance(b, dict) else b for b in builds if isinstance(b, str) or isinstance(b, dict) and "context" in b])
+    return pa.array(out, pa.list_(pa.string()))
+
+
 def declared_modules(files: DataFrame) -> DataFrame:
     """(repo_id, path, kind, module): directories that Maven and Gradle builds and compositions name as their modules, relative to the file's own."""
     kinds = F.create_map(*[F.lit(x) for pair in MANIFESTS.items() for x in pair])
     rows = files.withColumn("kind", kinds[F.element_at(F.split("path", "/"), -1)]).where("kind IN ('pom', 'gradle_settings', 'compose')")
-    rows = rows.select("repo_id", "path", "kind", text(F.col("content"), 1 << 24).alias("text"))
+    rows = rows.select("repo_id", "path", "kind", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     maven = F.from_xml("text", POM)["modules"]["module"]
     includes = F.array_join(F.regexp_extract_all("text", F.lit(r"(?m)^\s*include\b([^\n]*(?:(?<=,)[ \t]*\n[^\n]*)*)"), F.lit(1)), ",")
     gradle = F.transform(F.regexp_extract_all(includes, F.lit("[\"']:?([^\"']+)[\"']"), F.lit(1)), lambda x: F.translate(x, ":", "/"))
-    # a build is a plain directory, or a mapping with a context
-    builds = F.regexp_extract_all("text", F.lit(r"(?m)^\s+(?:build|context):[ \t]*[\"']?([^\s\"'#{]+)"), F.lit(1))
+    builds = _builds(F.when(F.col("kind") == "compose", F.col("text")))
     found = F.when(F.col("kind") == "pom", maven).when(F.col("kind") == "gradle_settings", gradle).otherwise(builds)
     return rows.select("repo_id", "path", "kind", F.explode(F.array_distinct(found)).alias("module")).withColumn("module", F.regexp_replace(F.trim("module"), "^(\\./)+|/+$", ""))
 

@@ -23,15 +23,15 @@ def test_scores_and_languages(spark):
 
 
 def test_texts(spark):
-    row = spark.range(1).select(enrichment.words(F.lit("getHTTPThing_by-id2")).alias("w"), enrichment.summary(F.lit("get"), F.lit("/api/big-items"), F.lit("items")).alias("a"), enrichment.summary(F.lit("delete"), F.lit("/items/{id}"), F.lit("drop_item")).alias("b"), enrichment.summary(F.lit("get"), F.lit("/"), F.lit(None).cast("string")).alias("c")).first()
-    assert row["w"] == ["get", "http", "thing", "by", "id2"] and (row["a"], row["b"], row["c"]) == ("List big items", "Drop item", "List root")
+    row = spark.range(1).select(enrichment.words(F.lit("getHTTPThing_by-id2")).alias("w"), enrichment.summary(F.lit("get"), F.lit("/api/big-items"), F.lit("get")).alias("a"), enrichment.summary(F.lit("delete"), F.lit("/items/{id}"), F.lit("drop_item")).alias("b"), enrichment.summary(F.lit("get"), F.lit("/"), F.lit(None).cast("string")).alias("c")).first()
+    assert row["w"] == ["get", "http", "thing", "by", "id2"] and (row["a"], row["b"], row["c"]) == ("List big items", "Drop item", "Get resource")
 
 
 def test_grounded(spark):
     key = ("r", "s", "/api/pets/{id}", "get")
     ops = spark.createDataFrame([(*key, ["pets"], ["200", "404"], [("id",)], False)], OPERATION)
-    assert [r["overview"] for r in enrichment.overviews(ops).collect()] == ["Operations on pets."]
-    cases = [("One pet", None, ["pet"], {"404": "gone"}, {"id": "its id"}, None), ("x", None, [], {"500": "y"}, {}, "status not declared"), ("x", None, [], {}, {"q": "y"}, "parameter not declared"), ("gives 409", None, [], {}, {}, "number of a status that is not declared"), ("see /api/pets/{id}.", None, [], {}, {}, None), ("see /other/x", None, [], {}, {}, "path of another operation"), ("needs a bearer token", None, [], {}, {}, "authentication without security"), ("x", None, ["cars"], {}, {}, "tag outside the vocabulary"), ("x", None, None, None, None, None)]
+    assert [r["overview"] for r in enrichment.overviews(ops).collect()] == ["API for the s. Provides operations over: pets."]
+    cases = [("One pet", None, ["pet"], {"404": "gone"}, {"id": "its id"}, None), ("x", None, [], {"500": "y"}, {}, "status not declared"), ("x", None, [], {}, {"q": "y"}, "parameter not declared"), ("gives 409", None, [], {}, {}, "number of a status that is not declared"), ("see /api/pets/{id}.", None, [], {}, {}, None), ("see /other/x", None, [], {}, {}, "path of another operation"), ("requires bearer", None, [], {}, {}, "authentication without security"), ("x", None, ["cars"], {}, {}, "tag outside the vocabulary"), ("x", None, None, None, None, None)]
     texts = spark.createDataFrame([(*key, f"{c[0]}", str(n), *c[2:5]) for n, c in enumerate(cases)], TEXT)
     nobody = ops.where("false")
     assert {int(r["description"]): r["reason"] for r in enrichment.grounded(texts, ops, nobody).collect()} == {n: c[5] for n, c in enumerate(cases)}

@@ -8,7 +8,7 @@ def test_published_scores(spark):
     rows = spark.createDataFrame([(s, h, m, l, 6, 6, 0, 1.0, 1.0, 1.0, 0, 0) for s, h, m, l, _ in GOLDEN], COLUMNS)
     got = report.scored(rows)
     assert {r["service"]: r["readiness"] for r in got.collect()} == {g[0]: g[4] for g in GOLDEN}
-    assert tuple(report.overall(got).first()) == (97.0, True, 8)
+    assert tuple(report.overall(got).first()) == (97.0, True, 8, True)
 
 
 def test_penalties_and_issues(spark):
