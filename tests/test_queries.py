@@ -6,7 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from corvina import queries
+from corvina import contract_queries as queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -38,4 +38,4 @@ def test_reachable_at_any_distance(spark, tmp_path):
     chain = [(k, k - 1, 50.0) for k in range(499, 469, -1)] + [(499, 300, 1.0), (400, 399, 50.0)]
     rows = spark.createDataFrame(chain, "l_partkey long, l_suppkey long, l_quantity double")
     rows.write.parquet(f"{tmp_path}/lineitem.parquet")
-    assert sorted(r["node"] for r in queries.reachable(spark, str(tmp_path)).collect()) == list(range(469, 500))
+    assert sorted(r["node"] for r in queries.QUERIES["reachable"](spark, str(tmp_path)).collect()) == list(range(469, 500))
