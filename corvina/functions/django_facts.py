@@ -65,7 +65,9 @@ class _Urls(_Reader):
         methods = [m for m in METHODS if m in defined] or next((GENERIC[b] for b in bases if b in GENERIC), [])
         if actions or methods:
             lookup = fields.get("lookup_url_kwarg") or fields.get("lookup_field") or "pk"
-            self.add("view", node, name=node.name, methods=methods, lookup=lookup, actions=[{"action": a, "method": m, "detail": d, "extra": e} for a, m, d, e in actions])
+            given = next((a.value for a in node.body if isinstance(a, ast.Assign) for t in a.targets if isinstance(t, ast.Name) and t.id == "serializer_class"), None)
+            serializer = (self.target(given) if given is not None else []) or [[None, None]]
+            self.add("view", node, name=node.name, serializer_module=serializer[0][0], serializer=serializer[0][1], methods=methods, lookup=lookup, actions=[{"action": a, "method": m, "detail": d, "extra": e} for a, m, d, e in actions])
 
 
 def _facts(batches):

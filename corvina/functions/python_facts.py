@@ -21,6 +21,10 @@ MARKERS = {"Query": "query", "Path": "path", "Header": "header", "Cookie": "cook
 SIMPLE = {"int": "integer", "float": "number", "str": "string", "bool": "boolean", "bytes": "string", "datetime": "string", "date": "string", "UUID": "string", "Decimal": "string"}
 
 
+# The parts of Flask's request by the places of what they hold.
+REQUEST = {"args": "query", "form": "form", "files": "file", "headers": "header", "cookies": "cookie"}
+
+
 def module_of(path: str) -> str:
     out = path.removesuffix(".py").replace("/", ".")
     return out.removesuffix(".__init__") if out != "__init__" else ""
@@ -97,11 +101,32 @@ class _Reader(ast.NodeVisitor):
                 if isinstance(path, str) and methods:
                     doc = (ast.get_docstring(node) or "").strip().split("\n")[0] or None
                     for module, name in self.target(d.func.value):
-                        self.add("route", d, owner_module=module, owner=name, methods=methods, route=path, function=node.name, status=_literal(w.get("status_code")) if isinstance(_literal(w.get("status_code")), int) else None, summary=doc, parameters=self.parameters(node, path))
+                        self.add("route", d, owner_module=module, owner=name, methods=methods, route=path, function=node.name, status=_literal(w.get("status_code")) if isinstance(_literal(w.get("status_code")), int) else None, summary=doc, parameters=self.parameters(node, path), requested=self.requested(node))
         self.generic_visit(node)
 
     visit_AsyncFunctionDef = visit_FunctionDef
 
+    def requested(self, node) -> list[dict]:
+        """What a handler reads of Flask's request: arguments, forms, files, headers, cookies by name, and a JSON body."""
+        if self.names.get("request") != ("flask", "request"):
+            return []
+        out: dict[tuple, dict] = {}
+        own = lambda x, n: isinstance(x, ast.Attribute) and isinstance(x.value, ast.Name) and x.value.id == "request" and x.attr == n
+
+        def add(name, where, required, type_="string"):
+            out.setdefault((name, where), {"name": name, "location": where, "required": required, "type": type_, "ref": None})
+
+        for x in ast.walk(node):
+            if isinstance(x, ast.Call) and (own(x.func, "get_json")) or own(x, "json"):
+                add("body", "body", True, "object")
+            for attr, where in REQUEST.items():
+                if isinstance(x, ast.Subscript) and own(x.value, attr) and isinstance(_literal(x.slice), str):
+                    add(_literal(x.slice), where, True)
+                elif isinstance(x, ast.Call) and isinstance(x.func, ast.Attribute) and x.func.attr in ("get", "getlist") and own(x.func.value, attr) and x.args and isinstance(_literal(x.args[0]), str):
+                    kind = SIMPLE.get(_name(_words(x).get("type")) or "", "string")
+                    add(_literal(x.args[0]), where, False, "array" if x.func.attr == "getlist" else kind)
+        return list(out.values())
+
     def parameters(self, node, path: str) -> list[dict]:
         out, a = [], node.args
         plain = [*a.posonlyargs, *a.args]

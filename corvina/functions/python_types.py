@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.schemas import REF
+from .django_types import MODEL_FIELDS, model_field, nullable, serializer_field
 from .python_facts import SCHEMA, _literal, _name, _Reader, _words, module_of
 
 # Schemas of plain types, containers, constraints, exceptions with a status, and security classes.
@@ -20,27 +21,26 @@ PLAIN = {
     "str": {"type": "string"}, "int": {"type": "integer"}, "float": {"type": "number"}, "bool": {"type": "boolean"}, "bytes": {"type": "string", "format": "binary"}, "None": {"type": "null"}, "Any": {}, "object": {},
     "datetime": {"type": "string", "format": "date-time"}, "date": {"type": "string", "format": "date"}, "time": {"type": "string", "format": "time"}, "timedelta": {"type": "string", "format": "duration"}, "UUID": {"type": "string", "format": "uuid"},
     "Decimal": {"type": "number"}, "EmailStr": {"type": "string", "format": "email"}, "HttpUrl": {"type": "string", "format": "uri"}, "AnyUrl": {"type": "string", "format": "uri"}, "Path": {"type": "string"}, "UploadFile": {"type": "string", "format": "binary"},
-    "dict": {"type": "object"}, "Dict": {"type": "object"}, "list": {"type": "array", "items": {}}, "List": {"type": "array", "items": {}}, "set": {"type": "array", "items": {}, "uniqueItems": True}, "tuple": {"type": "array", "items": {}},
+    "dict": {"type": "object"}, "Dict": {"type": "object"}, "list": {"type": "array"}, "List": {"type": "array"}, "set": {"type": "array", "uniqueItems": True}, "frozenset": {"type": "array", "uniqueItems": True}, "tuple": {"type": "array"},
+    "bytearray": {"type": "string", "format": "binary"}, "complex": {"type": "string"}, "NoneType": {"type": "null"}, "AnyHttpUrl": {"type": "string", "format": "uri"}, "SecretStr": {"type": "string", "writeOnly": True}, "Json": {},
 }
 ARRAYS = ("list", "List", "Sequence", "Iterable", "Collection", "deque")
 SETS = ("set", "Set", "frozenset", "FrozenSet")
 MAPS = ("dict", "Dict", "Mapping", "MutableMapping", "defaultdict", "OrderedDict")
-LIMITS = {"gt": "exclusiveMinimum", "ge": "minimum", "lt": "exclusiveMaximum", "le": "maximum", "multiple_of": "multipleOf", "min_length": "minLength", "max_length": "maxLength", "pattern": "pattern", "regex": "pattern", "title": "title", "description": "description"}
+LIMITS = {"gt": "exclusiveMinimum", "ge": "minimum", "lt": "exclusiveMaximum", "le": "maximum", "multiple_of": "multipleOf", "min_length": "minLength", "max_length": "maxLength", "min_items": "minItems", "max_items": "maxItems", "examples": "examples", "pattern": "pattern", "regex": "pattern", "title": "title", "description": "description"}
 KINDS = {"BaseModel": "model", "TypedDict": "typeddict", "NamedTuple": "namedtuple", "Enum": "enum", "IntEnum": "enum", "StrEnum": "enum", "Exception": "exception", "HTTPException": "exception"}
 STATUS_ERRORS = {"BadRequest": 400, "Unauthorized": 401, "Forbidden": 403, "NotFound": 404, "Conflict": 409}
 SECURITY = {"OAuth2PasswordBearer": "oauth2", "OAuth2AuthorizationCodeBearer": "oauth2", "OAuth2ClientCredentials": "oauth2", "HTTPBearer": "bearer", "HTTPBasic": "basic", "APIKeyHeader": "header", "APIKeyQuery": "query", "APIKeyCookie": "cookie", "OpenIdConnect": "openIdConnect"}
 
 
 def union(parts: list) -> dict:
-    """One schema for several: equal ones once, plain types with null as a list of types."""
+    """One schema for several: equal ones once, null last; a plain type with null is a list of types."""
     one = [p for k, p in enumerate(parts) if p not in parts[:k]]
-    if len(one) == 1:
-        return one[0]
-    if len(one) == 2 and {"type": "null"} in one:
-        other = next(p for p in one if p != {"type": "null"})
-        if isinstance(other.get("type"), str) and "enum" not in other:
-            return other | {"type": [other["type"], "null"]}
-    return {"anyOf": one}
+    null = {"type": "null"} in one
+    one = [p for p in one if p != {"type": "null"}]
+    if not one or not null and len(one) == 1:
+        return one[0] if one else {"type": "null"}
+    return nullable(one[0]) if len(one) == 1 else {"anyOf": one + [{"type": "null"}] * null}
 
 
 def status_of(node) -> int | None:
@@ -66,7 +66,10 @@ class _Types(_Reader):
             except (SyntaxError, ValueError):
                 return {}
         if isinstance(node, ast.BinOp) and isinstance(node.op, ast.BitOr):
-            return union([self.schema(node.left), self.schema(node.right)])
+            parts = [node]
+            while any(isinstance(x, ast.BinOp) for x in parts):  # a | b | c is one union
+                parts = [y for x in parts for y in ([x.left, x.right] if isinstance(x, ast.BinOp) else [x])]
+            return union([self.schema(x) for x in parts])
         if isinstance(node, ast.Subscript):
             return self.generic(_name(node.value), node.slice.elts if isinstance(node.slice, ast.Tuple) else [node.slice], node)
         name = _name(node) if node is not None else None
@@ -167,15 +170,37 @@ class _Types(_Reader):
                 fields.append({"name": json.dumps(name), "schema": json.dumps(out, sort_keys=True, default=str), "required": not given and not optional, "position": k})
             elif isinstance(s, ast.Assign) and isinstance(s.targets[0], ast.Name) and kind == "enum":
                 values.append(len(values) + 1 if isinstance(s.value, ast.Call) and _name(s.value.func) == "auto" else _literal(s.value))
+        meta = None
+        if any(n.endswith("Serializer") for n in names):
+            kind = kind or "serializer"
+            meta = self.called(node, fields, lambda c: serializer_field(c, self.schema))
+        elif "Model" in names or any(isinstance(s, ast.Assign) and isinstance(s.value, ast.Call) and _name(s.value.func) in MODEL_FIELDS and isinstance(s.value.func, ast.Attribute) and _name(s.value.func.value) == "models" for s in node.body):
+            kind = kind or "django_model"
+            self.called(node, fields, model_field)
+        extra = next((_literal(_words(s.value).get("extra")) for s in node.body if isinstance(s, ast.Assign) and isinstance(s.value, ast.Call) and isinstance(s.targets[0], ast.Name) and s.targets[0].id == "model_config"), None)
         whole = None
         if kind == "enum":
             types = {type(v) for v in values}
             whole = {"enum": values} | ({"type": {str: "string", int: "integer"}[next(iter(types))]} if len(types) == 1 and types <= {str, int} else {})
-        self.add("class", node, name=".".join([*self.classes, node.name]), type=kind, bases=[{"module": m, "name": n} for m, n in bases], fields=fields, whole=None if whole is None else json.dumps(whole, sort_keys=True, default=str), description=(ast.get_docstring(node) or "").strip().split("\n")[0] or None)
+        self.add("class", node, name=".".join([*self.classes, node.name]), type=kind, bases=[{"module": m, "name": n} for m, n in bases], fields=fields, whole=None if whole is None else json.dumps(whole, sort_keys=True, default=str), meta=meta, closed=extra == "forbid", description=(ast.get_docstring(node) or "").strip().split("\n")[0] or None)
         self.classes.append(node.name)
         self.generic_visit(node)
         self.classes.pop()
 
+    def called(self, node, fields: list, read) -> dict | None:
+        """Adds the fields that calls declare, and returns what an inner Meta names: a model, and which of its fields."""
+        for k, s in enumerate(node.body):
+            found = read(s.value) if isinstance(s, ast.Assign) and isinstance(s.targets[0], ast.Name) and isinstance(s.value, ast.Call) else None
+            if found:
+                fields.append({"name": json.dumps(s.targets[0].id), "schema": json.dumps(found[0], sort_keys=True, default=str), "required": found[1], "position": k})
+        inner = next((c for c in node.body if isinstance(c, ast.ClassDef) and c.name == "Meta"), None)
+        said = {t.id: a.value for a in inner.body if isinstance(a, ast.Assign) for t in a.targets if isinstance(t, ast.Name)} if inner else {}
+        model = self.target(said["model"]) if "model" in said else []
+        if not model:
+            return None
+        listed = lambda k: [str(x) for x in _literal(said.get(k))] if isinstance(_literal(said.get(k)), (list, tuple)) else None
+        return {"module": model[0][0], "name": model[0][1], "fields": listed("fields"), "exclude": listed("exclude") or [], "read_only": listed("read_only_fields") or []}
+
     def visit_FunctionDef(self, node):
         own = ".".join([*self.classes, node.name])
         raises, calls, depends = [], [], []

@@ -18,7 +18,7 @@ from ..operators.storage import cut
 #: Levels of calls below a route in which exceptions count, and of dependencies. Inheritance and references are followed to their ends.
 CALLS, DEPENDENCIES = 4, 2
 _TARGET = "struct<module:string,name:string>"
-_CLASS = f"name string, type string, bases array<{_TARGET}>, fields array<struct<name:string,schema:string,required:boolean,position:int>>, whole string, description string"
+_CLASS = f"name string, type string, bases array<{_TARGET}>, fields array<struct<name:string,schema:string,required:boolean,position:int>>, whole string, meta struct<module:string,name:string,fields:array<string>,exclude:array<string>,read_only:array<string>>, closed boolean, description string"
 _FUNCTION = f"name string, raises array<struct<status:int,module:string,name:string,detail:string,line:int>>, calls array<{_TARGET}>, depends array<{_TARGET}>, returns string, inputs array<struct<name:string,schema:string>>"
 _REFERENCE = r'"\$ref": ?"' + REF + r'([^"]+)"'
 
@@ -83,7 +83,7 @@ def schemas(facts: DataFrame) -> DataFrame:
     lines = up.join(own, ["repo_id", "node"])
     kind = lines.groupBy("repo_id", "root").agg(F.min_by("type", F.when(F.col("type").isNotNull(), F.col("depth"))).alias("type"))
     fields = lines.select("repo_id", "root", "depth", "node", "path", F.explode("fields").alias("f")).select("repo_id", "root", "depth", "node", "path", "f.*")
-    fields = cut(relational.keep_first(fields, ["repo_id", "root", "name"], ["depth", "node", "position"]))
+    fields = cut(relational.keep_first(fields.unionByName(_model_fields(classes, lines, facts)), ["repo_id", "root", "name"], ["depth", "node", "position"]))
     # references inside fields, found once for each
     refs = fields.select("repo_id", "path", F.explode(F.regexp_extract_all("schema", F.lit(_REFERENCE), F.lit(1))).alias("ref"))
     refs = refs.select("repo_id", "path", "ref", F.element_at(F.split("ref", ":"), 1).alias("module"), F.element_at(F.split("ref", ":"), 2).alias("name")).distinct()
@@ -92,11 +92,31 @@ def schemas(facts: DataFrame) -> DataFrame:
     entry = F.concat("name", F.lit(":"), "schema")
     order = F.struct((-F.col("depth")).alias("depth"), "node", "position", entry.alias("entry"))
     parts = fields.groupBy("repo_id", "root").agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["entry"]), ",").alias("properties"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("required"), F.col("name")))), ",").alias("required"))
-    whole = classes.select("repo_id", F.col("key").alias("root"), F.element_at(F.split("name", "\\."), -1).alias("title"), "whole").join(kind, ["repo_id", "root"]).join(parts, ["repo_id", "root"], "left")
-    object_ = F.concat(F.lit('{"properties":{'), F.coalesce("properties", F.lit("")), F.lit("}"), F.when(F.col("required") != "", F.concat(F.lit(',"required":['), "required", F.lit("]"))).otherwise(""), F.lit(',"type":"object"}'))
+    whole = classes.select("repo_id", F.col("key").alias("root"), F.element_at(F.split("name", "\\."), -1).alias("title"), "whole", "closed", "description").join(kind, ["repo_id", "root"]).join(parts, ["repo_id", "root"], "left")
+    object_ = F.concat(F.lit('{"properties":{'), F.coalesce("properties", F.lit("")), F.lit("}"), F.when(F.col("required") != "", F.concat(F.lit(',"required":['), "required", F.lit("]"))).otherwise(""), F.when(F.col("closed"), F.lit(',"additionalProperties":false')).otherwise(""), F.when(F.col("description").isNotNull(), F.concat(F.lit(',"description":'), _quoted(F.col("description")))).otherwise(""), F.lit(',"type":"object"}'))
     return whole.select("repo_id", F.col("root").alias("schema_id"), "title", "type", F.coalesce("whole", object_).alias("schema"))
 
 
+def _model_fields(classes: DataFrame, lines: DataFrame, facts: DataFrame) -> DataFrame:
+    """Fields that serializers take from their models: below all declared ones, the key first; of named ones only those."""
+    metas = classes.where("meta IS NOT NULL").select("repo_id", F.col("key").alias("root"), "path", F.col("meta.module").alias("module"), F.col("meta.name").alias("name"), "meta")
+    found = metas.join(resolved(metas, classes, facts), ["repo_id", "path", "module", "name"]).select("repo_id", "root", F.col("key").alias("model"), "meta")
+    models = lines.select("repo_id", F.col("root").alias("model"), "depth", "node", "path", F.explode("fields").alias("f")).select("repo_id", "model", "depth", "node", "path", "f.*")
+    key = found.select("repo_id", "model").distinct().select("repo_id", "model", F.lit(500).alias("depth"), F.col("model").alias("node"), F.element_at(F.split("model", ":"), 1).alias("path"), F.lit('"id"').alias("name"), F.lit('{"readOnly": true, "type": "integer"}').alias("schema"), F.lit(False).alias("required"), F.lit(-1).alias("position"))
+    rows = found.join(models.unionByName(key), ["repo_id", "model"]).withColumn("plain", F.trim("name", F.lit('"')))
+    named = F.coalesce(F.array_contains("meta.fields", F.col("plain")), F.col("meta.fields").isNull())
+    rows = rows.where(named & ~F.array_contains("meta.exclude", F.col("plain")))
+    read = F.array_contains("meta.read_only", F.col("plain"))
+    shown = F.when(read & ~F.col("schema").contains('"readOnly"'), F.regexp_replace("schema", r"^\{", '{"readOnly": true, ')).otherwise(F.col("schema"))
+    return rows.select("repo_id", "root", (F.col("depth") + 1000).alias("depth"), "node", "path", "name", shown.alias("schema"), (F.col("required") & ~read).alias("required"), "position")
+
+
+def partial(schemas: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Schemas of wanted(repo_id, schema_id) as what a partial update takes: nothing is required."""
+    rows = schemas.join(wanted.select("repo_id", "schema_id").distinct(), ["repo_id", "schema_id"], "left_semi")
+    return rows.withColumns({"schema_id": F.concat("schema_id", F.lit(":partial")), "title": F.concat(F.lit("Patched"), "title"), "schema": F.regexp_replace("schema", r',"required":\[[^\]]*\]', "")})
+
+
 def _rewritten(schema: Column, known: Column) -> Column:
     """A schema with each reference of the map renamed; references that are not known go."""
     entries = F.coalesce(F.map_entries(known), F.array().cast("array<struct<key:string,value:string>>"))

@@ -58,7 +58,8 @@ def analyze(files: DataFrame, settings: Settings | None = None) -> Analysis:
     typed = cut(python_types.facts(files))
     types = cut(java_types.types(files))
     modules = cut(java_services.modules(manifests))
-    python = services.operations(found).unionByName(django_services.operations(cut(django_facts.facts(files))))
+    urls = cut(django_facts.facts(files))
+    python = services.operations(found).unionByName(django_services.operations(urls))
     java = java_services.operations(java_facts.facts(files), manifests, files, types)
     pairs = F.array(*[F.struct(F.lit(f).alias("framework"), F.lit(a).alias("adapter")) for f, every in READERS.items() for a in every])
     allowed = chosen.select("repo_id", "adapter").join(files.sparkSession.range(1).select(F.explode(pairs).alias("p")).select("p.*"), "adapter").select("repo_id", "framework").distinct()
@@ -68,7 +69,12 @@ def analyze(files: DataFrame, settings: Settings | None = None) -> Analysis:
     success = cut(java_parts.pop("statuses"))
     java = java.drop("statuses").join(success.drop("created"), KEY, "left").withColumn("statuses", F.coalesce("statuses", F.array(F.lit("200"))))
     operations = cut(python.unionByName(java))
-    parts = {k: cut(v) for k, v in contracts.joined_parts(contracts.parts(python, typed), java_parts).items()}
+    python_parts = contracts.parts(python, typed)
+    seen, patched = django_services.bodies(python, urls, typed)
+    python_parts["schemas"] = cut(python_parts["schemas"])
+    python_parts["schemas"] = python_parts["schemas"].unionByName(contracts.partial(python_parts["schemas"], patched))
+    python_parts["bodies"] = python_parts["bodies"].join(seen.select(*KEY), KEY, "left_anti").unionByName(seen)
+    parts = {k: cut(v) for k, v in contracts.joined_parts(python_parts, java_parts).items()}
     statuses = operations.where("NOT duplicate").select(*KEY, F.explode("statuses").alias("status")).unionByName(parts["errors"].select(*KEY, "status")).distinct()
     told = services.warnings(operations, found).unionByName(_without_readers(files, chosen))
     return Analysis(operations, parts, cut(statuses), cut(told), chosen, settings)

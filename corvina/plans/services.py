@@ -12,7 +12,7 @@ from ..operators.storage import cut
 _ROUTER = "framework string, role string, name string, prefix string, title string, tags array<string>"
 _INCLUDE = "owner_module string, owner string, target_module string, target string, prefix string, tags array<string>"
 _PARAMETER = "struct<name:string,location:string,required:boolean,type:string,ref:string>"
-_ROUTE = f"owner_module string, owner string, methods array<string>, route string, function string, status int, summary string, parameters array<{_PARAMETER}>"
+_ROUTE = f"owner_module string, owner string, methods array<string>, route string, function string, status int, summary string, parameters array<{_PARAMETER}>, requested array<{_PARAMETER}>"
 
 
 def _of(facts: DataFrame, kind: str, schema: str) -> DataFrame:
@@ -73,7 +73,10 @@ def operations(facts: DataFrame) -> DataFrame:
     rows = rows.withColumn("base", paths.operation_base(F.col("method"), F.col("path")))
     n = F.row_number().over(Window.partitionBy("repo_id", "service", "base").orderBy("duplicate", "path", "method", *order))
     rows = rows.withColumn("operation_id", F.when(n == 1, F.col("base")).otherwise(F.concat_ws("_", "base", n.cast("string"))))
-    plain = F.when(F.col("framework") == "fastapi", F.col("parameters")).otherwise(F.filter("parameters", lambda p: p["location"] == "path"))
+    # a Flask handler's own arguments are those of the path; what it reads of the request has other places, and bodies only come with some methods
+    asks = F.col("method").isin("post", "put", "patch", "delete")
+    read = F.filter("requested", lambda p: asks | ~p["location"].isin("body", "form", "file"))
+    plain = F.when(F.col("framework") == "fastapi", F.col("parameters")).otherwise(F.concat(F.filter("parameters", lambda p: p["location"] == "path"), F.coalesce(read, F.array().cast(f"array<{_PARAMETER}>"))))
     rows = rows.withColumn("parameters", completed(plain))
     success = F.coalesce(F.col("status"), F.lit(200)).cast("string")
     statuses = F.when((F.col("framework") == "fastapi") & (F.size("parameters") > 0), F.array_sort(F.array_distinct(F.array(success, F.lit("422"))))).otherwise(F.array(success))
