@@ -34,5 +34,8 @@ def test_merged(spark):
 def test_sinks(spark, tmp_path):
     docs = spark.createDataFrame([("r", "a/b:x", '{"b":1,"a":null}'), ("r", "c", "{}"), ("q", "c", '{"é":[1.0]}')], "repo_id string, service string, document string")
     assert sinks.write_documents(docs, str(tmp_path)) == 3
-    assert (tmp_path / "q/openapi.json").read_text() == '{"é":[1.0]}\n' and (tmp_path / "r/openapi.a_b_x.json").read_text() == '{"b":1}\n'
+    # documents keep the order of their keys, and nulls
+    assert (tmp_path / "q/openapi.json").read_text() == '{\n  "é": [\n    1.0\n  ]\n}\n' and (tmp_path / "r/openapi.a_b_x.json").read_text() == '{\n  "b": 1,\n  "a": null\n}\n'
+    assert json.loads((tmp_path / "r/catalog.json").read_text()) == [{"id": "a/b:x", "spec": "openapi.a_b_x.json"}, {"id": "c", "spec": "openapi.c.json"}]
+    assert sinks.canonical_json({"b": 1, "a": None, "é": [1.0]}) == '{"b":1,"é":[1.0]}\n'
     assert {r["repo_id"]: json.loads(r["catalog"]) for r in sinks.catalog(sinks.service_paths(docs, "o.json")).collect()} == {"r": [{"id": "a/b:x", "spec": "o.a_b_x.json"}, {"id": "c", "spec": "o.c.json"}]}
