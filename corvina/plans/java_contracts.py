@@ -29,6 +29,7 @@ CONTEXT_KEYS = {"spring": "server.servlet.context-path", "spring-webflux": "spri
 # Annotations that ask for a signed-in user.
 GUARDS = ["PreAuthorize", "Secured", "RolesAllowed"]
 _KEY = ["repo_id", "service", "path", "method"]
+_NAME = r"([A-Za-z_$][\w$.]*)"
 
 
 def index(types: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def index(types: DataFrame) -> DataFrame:
 
 def names(types: DataFrame) -> DataFrame:
     """(repo_id, owner, name): the type names that each type's declaration uses."""
-    of = lambda texts: F.flatten(F.transform(texts, lambda t: F.regexp_extract_all(t, F.lit(r"([A-Za-z_$][\w$.]*)"), F.lit(1))))
+    of = lambda texts: F.flatten(F.transform(texts, lambda t: F.regexp_extract_all(t, F.lit(_NAME), F.lit(1))))
     texts = F.concat(F.array(F.coalesce("extends", F.lit(""))), F.col("fields.type"), F.col("components.type"), F.col("methods.returns"), F.flatten(F.transform("methods", lambda m: m["parameters"]["type"])), F.flatten(F.transform("methods", lambda m: m["throws"]["type"])))
     # handled exceptions are named by annotations
     said = F.flatten(F.transform("methods", lambda m: F.flatten(F.transform(F.filter(m["annotations"], lambda a: a["name"] == "ExceptionHandler"), lambda a: F.split(F.regexp_replace(F.coalesce(a["value"], a["arguments"]["value"], F.lit("")), r"\.class|[{}\s]", ""), ",")))))
@@ -157,11 +158,18 @@ def methods_of(operations: DataFrame, types: DataFrame) -> DataFrame:
     return relational.keep_first(rows, _KEY, [far, "m_line"]).withColumnRenamed("qualified", "owner")
 
 
+def _with_names(handled: DataFrame, known: DataFrame, *texts: Column) -> DataFrame:
+    """handled with what the names in the given type texts mean in the owner. These names alone are looked up: a type has as many names as handlers, so no row may carry them all."""
+    said = F.array_distinct(F.concat(*[F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(_NAME), F.lit(1)) for t in texts]))
+    meant = known.select("repo_id", F.col("qualified").alias("owner"), F.explode("known").alias("key", "value"))
+    found = handled.select(*_KEY, "owner", F.explode(said).alias("key")).join(meant, ["repo_id", "owner", "key"])
+    return handled.join(found.groupBy(*_KEY).agg(F.collect_list(F.struct("key", "value")).alias("names")), _KEY, "left")
+
+
 def bodies(handled: DataFrame, known: DataFrame) -> DataFrame:
     """(repo_id, service, path, method, status, created, request, response, level, reason, references): what a handler takes as its body and answers. A response is null where there is no content."""
     body = F.get(F.filter("m.parameters", lambda p: F.exists(p["annotations"], lambda a: a["name"] == "RequestBody") | (F.size(p["annotations"]) == 0) & (F.col("framework") == "jaxrs")), 0)["type"]
-    rows = handled.join(known.withColumnRenamed("qualified", "owner"), ["repo_id", "owner"], "left")
-    names = F.map_entries("known")
+    rows, names = _with_names(handled, known, body, F.col("m.returns")), F.col("names")
     rows = rows.select(*_KEY, "framework", F.col("m.returns").alias("returns"), _declared(F.col("m.annotations")).alias("declared"), _built(F.col("m.body")).alias("built"), _converted(body, names).alias("taken"), _converted(F.col("m.returns"), names).alias("given"))
     inner = F.regexp_extract("returns", r"([\w$.]+)>*$", 1)
     nothing = F.col("returns").rlike(r"^(?:(?:[\w$]+\.)*(?:ResponseEntity|HttpEntity|Mono|CompletableFuture|CompletionStage|Callable|DeferredResult)<)*(?:void|Void|\?)>*$")

@@ -60,3 +60,24 @@ def test_functional_operations(spark):
     ops = java_services.operations(facts(files), tree.manifests(files)).cache()
     assert ops.count() == 6 and {r["framework"] for r in ops.collect()} == {"spring-webflux"}
     assert all(r["passed"] for r in services.gates(ops, services.documents(ops)).collect())
+
+
+def test_bodies_look_up_their_own_names_only(spark, monkeypatch):
+    """A row for a handler carries what its own type texts mean, not the names of all handlers of its controller."""
+    from pyspark.sql import functions as F
+
+    from corvina.functions import java_types
+    from corvina.plans import java_contracts
+
+    each = "".join(f'  @PostMapping("/{k}") Box<S{k}> add{k}(@RequestBody In{k} in) {{ return null; }}\n  static class S{k} {{ int n; }}\n  static class In{k} {{ int n; }}\n' for k in range(30))
+    text = "package a; @RestController class Api {\n  static class Box<T> { T one; }\n" + each + '  @GetMapping("/none") void none() {}\n}\n'
+    files = spark.createDataFrame([("r", "Api.java", len(text), bytearray(text.encode()))], tree.FILES)
+    types = java_contracts.index(java_types.types(files))
+    known = java_contracts.known_names(types)
+    handled = java_contracts.cut(java_contracts.methods_of(java_services.operations(facts(files), tree.manifests(files)), types))
+    got = {r["path"]: r for r in java_contracts.bodies(handled, known).collect()}
+    assert len(got) == 31 and got["/none"]["response"] is None
+    assert all([x["qualified"] for x in got[f"/{k}"]["references"]] == [f"a.Api.In{k}", "a.Api.Box"] for k in range(30))
+    shape = "struct<schema:string,level:string,reason:string,references:array<struct<schema_id:string,qualified:string,arguments:string>>>"
+    monkeypatch.setattr(java_contracts, "_converted", lambda text, names: F.struct(F.lit("{}").alias("schema"), F.lit("high").alias("level"), F.array_join(F.array_sort(F.transform(names, lambda x: x["key"])), " ").alias("reason"), F.array().alias("references")).cast(shape))
+    assert {r["path"]: r["reason"] for r in java_contracts.bodies(handled, known).collect() if r["path"] != "/none"} == {f"/{k}": f"Box In{k} S{k}" for k in range(30)}
