@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ._common import through_storage
 
+#: Edges, once contracted within partitions, that one task contracts to the end: every step of the others takes six shuffles.
+FEW = 1 << 14
+
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, smallest node of its component) for the nodes of the edges a-b other than those smallest ones."""
@@ -36,13 +39,22 @@ def _local(batches):
         yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["a", "b"])
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def _whole(batches):
+    every = [b for b in batches if b.num_rows]
+    if every:
+        node, root = forest(*(np.concatenate([b.column(k).to_numpy() for b in every]) for k in range(2)))
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["node", "root"])
+
+
+def components(edges: DataFrame, most: int = 60, few: int = FEW) -> DataFrame:
     """(node, root) for edges(a long, b long): root is the smallest node that links reach; nodes that are roots themselves have no row.
 
-    Edges are first contracted within partitions. Each step keeps at most as many edges as before and is written to the shared folder. Null ends are dropped; loops and repeated edges do not matter.
+    Edges are first contracted within partitions. If up to `few` are left, one task contracts them all. Else each step keeps at most as many edges as before and is written to the shared folder. Null ends are dropped; loops and repeated edges do not matter.
     """
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    now = edges.mapInArrow(_local, "a long, b long").distinct()
+    now = through_storage(edges.mapInArrow(_local, "a long, b long").distinct(), "components")
+    if now.count() <= few:
+        return through_storage(now.coalesce(1).mapInArrow(_whole, "node long, root long"), "components")
     before = None
     for _ in range(most):
         # large star: every larger neighbour, and the node, to the smallest of the neighbourhood

@@ -147,3 +147,17 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100), (205, 200), (203, 205), (None, 1)]
     got = components.components(spark.createDataFrame(edges, "a long, b long").repartition(4))
     assert {tuple(r) for r in got.collect()} == {(i, 0) for i in range(1, 61)} | {(205, 200), (203, 200)}
+
+
+def test_components_of_few_edges_take_no_rounds(spark, monkeypatch):
+    from corvina.llm import components as module
+
+    written = []
+    store = module.through_storage
+    monkeypatch.setattr(module, "through_storage", lambda df, name: written.append(name) or store(df, name))
+    path = [(k + 1, k) for k in range(0, 400)] + [(1000, 900), (900, 1000), (5, 5), (None, 3)]
+    edges = spark.createDataFrame(path, "a long, b long").repartition(8)
+    want = {(k, 0) for k in range(1, 401)} | {(1000, 900)}
+    assert {tuple(r) for r in module.components(edges).collect()} == want and len(written) == 2
+    assert {tuple(r) for r in module.components(edges, few=0).collect()} == want and len(written) > 4
+    assert module.components(edges.limit(0)).count() == 0
